@@ -1,3 +1,8 @@
+import sys
+from pathlib import Path
+
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
 import pytest
 from pyspark.sql import SparkSession
 
