@@ -31,7 +31,7 @@ SPREADS = 4.0
 LEAST = 50
 STRETCH = 3.0
 #: In 1/10000. No cutoff is lower, however even a group is.
-FLOOR = {"symbols": 1500, "dup_lines": 4000, "repeats": 3500, "capitals": 4000, "marks": 4500, "long_words": 150000}
+FLOOR = {"symbols": 1500, "dup_lines": 4000, "repeats": 5000, "capitals": 4000, "marks": 4500, "long_words": 150000}
 SYMBOLS = frozenset("#*$%&|<>")
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -44,7 +44,7 @@ def measures(text: str | None) -> dict[str, int]:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     n = len(words)
-    lines = [x for x in text.split("\n") if x and not x.isspace() and _has_word(x)]
+    lines = [x for x in text.split("\n") if _has_word(x)]
     covered = 0
     if n >= 3:
         windows = list(zip(words, words[1:], words[2:], strict=False))

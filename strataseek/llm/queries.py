@@ -99,5 +99,41 @@ from turns group by conv_id
 """
 
 
+OP5 = """
+with recursive v as (select row_number() over () as n, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e,
+  coalesce(label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as ok from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e)
+  where a.ok and b.ok and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(id, r) as (select vec_id, vec_id from v union select reach.id, links.b from reach join links on links.a = reach.r),
+roots as (select id, min(r) as root from reach group by id)
+select v.vec_id, coalesce(c.n, 0) as n_links, root as component_id, root = v.vec_id as kept
+from v join roots on roots.id = v.vec_id left join (select a, count(*) as n from links group by a) c on c.a = v.vec_id
+"""
+
+OP4 = f"""
+with w as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
+g as (select doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+c as (select doc_id, count(distinct p) as covered from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as k from g) where k > 1) group by 1),
+m as (select w.doc_id, lang, source, len(ws) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(covered, 0) as n_repeat_words, len(ls) as n_lines,
+  length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[!?;:=~^@\\\\/\\[\\](){{}}_+]', '', 'g')) as n_marks
+  from w join l using (doc_id) left join c using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+r as (select doc_id, lang, source, base_failed, unnest({list(quality.FLOOR)}) as ratio, unnest({[float(x) for x in quality.FLOOR.values()]}::double[]) as lowest,
+  unnest([floor(10000e0 * n_symbols / greatest(n_words, 1)), floor(10000e0 * n_dup_lines / greatest(n_lines, 1)), floor(10000e0 * n_repeat_words / greatest(n_words, 1)),
+    floor(10000e0 * n_upper / greatest(word_chars, 1)), floor(10000e0 * n_marks / greatest(n_words, 1)), floor(10000e0 * word_chars / greatest(n_words, 1))]) as x from b),
+s as (select lang, source, ratio, lowest, if(x <= 0, 0, 1 + floor(ln(x) / ln({quality.GROWTH}e0))) as k, count(*) as c from r where not base_failed group by all),
+lv as (select 1 as lev, lang, source, ratio, lowest, k, c from s union all select 2, lang, null, ratio, lowest, k, sum(c) from s group by all union all select 3, null, null, ratio, lowest, k, sum(c) from s group by all),
+u as (select *, sum(c) over (partition by lev, lang, source, ratio order by k) as upto, sum(c) over (partition by lev, lang, source, ratio) as n from lv),
+q as (select lev, lang, source, ratio, lowest, max(n) as n, min(if(upto >= n * 0.25e0, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q1, min(if(upto >= n * 0.75e0, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q3 from u group by all),
+f as (select *, if(n >= {quality.LEAST}, greatest(q3 + {quality.SPREADS}e0 * (q3 - q1), lowest), null) as fence from q),
+cut as (select o.lang, o.source, o.ratio, least(coalesce(o.fence, y.fence, z.fence, o.lowest), greatest(coalesce(y.fence, z.fence, o.lowest) * {quality.STRETCH}e0, o.lowest)) as cutoff
+  from f o join f y on y.lev = 2 and y.lang is not distinct from o.lang and y.ratio = o.ratio join f z on z.lev = 3 and z.ratio = o.ratio where o.lev = 1),
+bad as (select distinct r.doc_id from r join cut on r.lang is not distinct from cut.lang and r.source is not distinct from cut.source and r.ratio = cut.ratio where x > cutoff)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept from b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": OP9}
+    return {"op4_quality": OP4, "op5_embedding_dedup": OP5, "op9_chat": OP9}
