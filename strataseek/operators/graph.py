@@ -50,21 +50,25 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "
     return seen.where("depth > 0"), reduce(DataFrame.unionByName, walked).distinct()
 
 
-def entity_neighbours(mentions: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(at, to, relation): memories whose entities a relation joins, source to target.
-    A mention counts for its entity and for the entity that is its canonical one."""
+def entity_links(mentions: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memory_id, e): each memory and the entities that it mentions, canonical ones too;
+    (s, t, relation): relations between entities, likewise. Memories that relations join
+    meet through these two; the pairs of memories are never listed."""
     canon = entities.select(F.col("id").alias("entity_id"), F.coalesce("canonical_id", "id").alias("canon"))
-    m = mentions.select("memory_id", "entity_id").distinct()
-    on = m.join(canon, "entity_id")
-    names = on.select("memory_id", F.col("entity_id").alias("e")).unionByName(on.select("memory_id", F.col("canon").alias("e"))).distinct()
-    r = relations.select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t"), "relation_type").distinct()
-    # relations of the canonical entity as well as of the entity itself
+    on = mentions.select("memory_id", "entity_id").distinct().join(canon, "entity_id")
+    names = on.select("memory_id", F.explode(F.array_distinct(F.array("entity_id", "canon"))).alias("e")).distinct()
+    r = relations.select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t"), F.col("relation_type").alias("relation")).distinct()
     c = canon.select(F.col("entity_id").alias("s"), F.col("canon").alias("sc"))
     r = r.join(c, "s").join(c.select(F.col("s").alias("t"), F.col("sc").alias("tc")), "t")
-    ends = r.select("relation_type", F.explode(F.array_distinct(F.array("s", "sc"))).alias("s"), "t", "tc").select("relation_type", "s", F.explode(F.array_distinct(F.array("t", "tc"))).alias("t")).distinct()
-    left = names.select(F.col("memory_id").alias("at"), F.col("e").alias("s"))
-    right = names.select(F.col("memory_id").alias("to"), F.col("e").alias("t"))
-    return left.join(ends, "s").join(right, "t").where("at <> to").select("at", "to", F.col("relation_type").alias("relation")).distinct()
+    ends = r.select("relation", F.explode(F.array_distinct(F.array("s", "sc"))).alias("s"), "t", "tc").select("relation", "s", F.explode(F.array_distinct(F.array("t", "tc"))).alias("t")).distinct()
+    return names, ends
+
+
+def entity_neighbours(frontier: DataFrame, names: DataFrame, ends: DataFrame) -> DataFrame:
+    """From (at): (at, to, relation), memories whose entities a relation joins, source to
+    target."""
+    reached = frontier.join(names, F.col("at") == F.col("memory_id")).join(ends, F.col("e") == F.col("s")).select("at", "t", "relation").distinct()
+    return reached.join(names.select(F.col("memory_id").alias("to"), F.col("e").alias("t")), "t").where("at <> to").select("at", "to", "relation").distinct()
 
 
 def seed_entities(queries: DataFrame, mentions: DataFrame, entities: DataFrame, least: int = 0) -> DataFrame:
@@ -102,18 +106,23 @@ def hop_rank(distance: Column, source: Column, relation: Column, curve: str = "l
     return F.when(distance == 0, F.lit(1.0)).otherwise(far)
 
 
-def proximity(seeds: DataFrame, direct: DataFrame, mediated: DataFrame, live: DataFrame, limit: int, depth: int = 2, curve: str = "linear") -> DataFrame:
+def proximity(seeds: DataFrame, direct: DataFrame, names: DataFrame, ends: DataFrame, live: DataFrame, limit: int, depth: int = 2, curve: str = "linear") -> DataFrame:
     """query_id, id, distance, value and rank of memories near the seeds.
 
-    ``seeds``: (query_id, id); ``direct`` and ``mediated``: (at, to, relation); ``live``: id.
-    A nearer hop wins; at one distance the lower value does."""
-    hops = direct.select("at", "to", "relation", F.lit("edges").alias("source")).unionByName(mediated.select("at", "to", "relation", F.lit("relations").alias("source"))).distinct()
+    ``seeds``: (query_id, id); ``direct``: (at, to, relation); ``names`` and ``ends`` as
+    from ``entity_links``; ``live``: id. A nearer hop wins; at one distance the lower value
+    does. A level goes from memories to entities, over relations and back, with one row for
+    each query and entity between, so a popular entity is met once a level."""
     seen = seeds.select("query_id", "id").distinct().withColumn("distance", F.lit(0)).withColumn("value", F.lit(1.0))
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.select("query_id", "id").join(hops, F.col("id") == F.col("at"))
-        value = hop_rank(F.lit(level), F.col("source"), F.col("relation"), curve)
-        new = step.select("query_id", F.col("to").alias("id"), value.alias("value")).groupBy("query_id", "id").agg(F.min("value").alias("value"))
+        at = frontier.select("query_id", F.col("id").alias("at"))
+        value = lambda source, level=level: hop_rank(F.lit(level), F.lit(source), F.col("relation"), curve).alias("value")
+        one = at.join(direct.select("at", "to", "relation"), "at").select("query_id", F.col("to").alias("id"), value("edges"))
+        said = at.join(names, F.col("at") == F.col("memory_id")).select("query_id", F.col("e").alias("s")).distinct()
+        over = said.join(ends, "s").select("query_id", F.col("t").alias("e"), value("relations")).groupBy("query_id", "e").agg(F.min("value").alias("value"))
+        two = over.join(names, "e").select("query_id", F.col("memory_id").alias("id"), "value")
+        new = one.unionByName(two).groupBy("query_id", "id").agg(F.min("value").alias("value"))
         frontier = new.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(level).alias("distance"), "value")
         seen = seen.unionByName(frontier)
     kept = seen.join(live.select("id"), "id", "left_semi").withColumn("value", F.round("value", 6))

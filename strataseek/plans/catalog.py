@@ -480,11 +480,11 @@ def proximity(spark: SparkSession, d: str, curve: str) -> DataFrame:
     key = F.col("p_partkey")
     rels = part.where(key % 40 == 1).select(key.alias("source_entity_id"), (key + 1).alias("target_entity_id"), F.when(key % 2 == 0, "depends_on").otherwise("relates_to").alias("relation_type"))
     rels = rels.join(ents.select(F.col("id").alias("target_entity_id")), "target_entity_id", "left_semi")
-    mediated = graph.entity_neighbours(said, ents, rels)
+    names, ends = graph.entity_links(said, ents, rels)
     direct = orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("at"), (F.col("o_orderkey") + 1).alias("to"), F.lit("next").alias("relation")).distinct()
     canon = said.join(ents.select(F.col("id").alias("entity_id"), F.coalesce("canonical_id", "id").alias("c")), "entity_id")
     seeds = canon.where("c = 100 and entity_id % 20 = 1").select(F.lit(0).cast("bigint").alias("query_id"), F.col("memory_id").alias("id")).distinct()
-    return graph.proximity(seeds, direct, mediated, orders.select(F.col("o_orderkey").alias("id")), 200, 2, curve)
+    return graph.proximity(seeds, direct, names, ends, orders.select(F.col("o_orderkey").alias("id")), 200, 2, curve)
 
 
 @query(prox_sql("1 + 1 / w", "1 + 2 / w"))

@@ -157,12 +157,13 @@ def test_proximity_and_seeds(spark):
     asked = spark.createDataFrame([(0, "spark"), (1, "delta")], "query_id int, token string")
     assert {(r.query_id, r.canon) for r in graph.seed_entities(asked, said, ents).collect()} == {(0, "e1"), (1, "e3")}
     rel = spark.createDataFrame([("e1", "e3", "implements")], "source_entity_id string, target_entity_id string, relation_type string")
-    med = graph.entity_neighbours(said, ents, rel)
+    names, ends = graph.entity_links(said, ents, rel)
+    med = graph.entity_neighbours(said.select(F.col("memory_id").alias("at")), names, ends)
     assert {(r.at, r.to) for r in med.collect()} == {("m1", "m3"), ("m2", "m3")}
     seeds = spark.createDataFrame([(0, "m1")], "query_id int, id string")
     direct = spark.createDataFrame([("m3", "gone", "x"), ("m3", "m2", "x")], '`at` string, `to` string, relation string')
     live = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "id string")
-    assert [(r.id, r.distance) for r in graph.proximity(seeds, direct, med, live, 9).orderBy("rank").collect()] == [("m1", 0), ("m3", 1), ("m2", 2)]
+    assert [(r.id, r.distance) for r in graph.proximity(seeds, direct, names, ends, live, 9).orderBy("rank").collect()] == [("m1", 0), ("m3", 1), ("m2", 2)]
 
 
 def test_entities(spark):
