@@ -119,11 +119,17 @@ class Engine:
             scored = bm25.score(terms, index.postings(parts, key, one), index.lengths(parts, key, one), {"text": 1.0}, "key", True)
             scored = scored.select("query_id", "corpus", F.substring_index("key", "\0", 1).alias("id"), "score").groupBy("query_id", "corpus", "id").agg(F.max("score").alias("score"))
             lists.append(bm25.top(scored, n, place=["corpus"]).select("query_id", "corpus", "id", "rank", F.lit("chunk_fts").alias("channel")))
-        if "vec" in chosen and strategy != "keyword" and self.embed is not None and self.embedder.usable():
-            vectors, asked = self.embed(live.select("corpus", "id", "content"), "content"), self.embed(queries, "query").select("query_id", F.col("embedding").alias("qvec"))
+        if strategy != "keyword" and self.embed is not None and self.embedder.usable() and {"vec", "chunk_vec"} & set(chosen):
+            asked = self.embed(queries, "query").select("query_id", F.col("embedding").alias("qvec"))
             for corpus in self.scopes(scope):
-                near = knn.knn(vectors.where(F.col("corpus") == corpus.name), asked, n)
-                lists.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), "id", "rank", F.lit("vec").alias("channel")))
+                own = live.where(F.col("corpus") == corpus.name)
+                if "vec" in chosen:
+                    near = knn.knn(self.embed(own.select("id", "content"), "content"), asked, n)
+                    lists.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), "id", "rank", F.lit("vec").alias("channel")))
+                if "chunk_vec" in chosen:
+                    near = knn.knn(self.embed(chunker.explode_chunks(own).select(F.concat_ws("\0", "id", "chunk_index").alias("id"), "text"), "text"), asked, 3 * n)
+                    near = knn.best_per_group(near.withColumn("memory", F.substring_index("id", "\0", 1)), "memory", n)
+                    lists.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), F.col("memory").alias("id"), "rank", F.lit("chunk_vec").alias("channel")))
         if "graph" in chosen and proximity is not None:
             lists.append(proximity.join(live.select("corpus", "id"), ["corpus", "id"], "left_semi").select("query_id", "corpus", "id", "rank", F.lit("graph").alias("channel")))
         if not lists:

@@ -10,7 +10,7 @@ from ..functions.text import find, normalize_name
 from ..functions.vector import cosine
 
 # The vocabulary of entity types.
-ENTITY_TYPES = ["PERSON", "ORG", "PROJECT", "TECHNOLOGY", "CONCEPT", "FILE", "LOCATION", "EVENT"]
+ENTITY_TYPES = ["PERSON", "CONCEPT", "TECHNOLOGY", "PROJECT", "EVENT", "OTHER"]
 RELATION_TYPES = list(S.RELATION_WEIGHTS)
 
 
@@ -26,6 +26,14 @@ def payload_errors(entities: Column, relations: Column, types: list[str] = ENTIT
     return F.when(F.size(ents) > S.AGENT_ENTITIES, F.array(F.lit(f"entities: over the cap of {S.AGENT_ENTITIES}"))).when(F.size(rels) > S.AGENT_RELATIONS, F.array(F.lit(f"relations: over the cap of {S.AGENT_RELATIONS}"))).otherwise(F.array_compact(F.concat(e, r)))
 
 
+def cleaned(entities: Column, relations: Column, types: list[str] = ENTITY_TYPES, n_entities: int = S.LLM_ENTITIES, n_relations: int = S.LLM_RELATIONS) -> tuple[Column, Column]:
+    """What a model found, without the items that are wrong, cut at the caps."""
+    full = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    ents = F.filter(F.coalesce(entities, F.array().cast("array<struct<name:string,type:string,surface_form:string>>")), lambda x: full(x["name"]) & (F.length(x["name"]) <= S.NAME_CHARS) & F.coalesce(x["type"].isin(types), F.lit(False)))
+    rels = F.filter(F.coalesce(relations, F.array().cast("array<struct<from:string,to:string,rel:string>>")), lambda x: full(x["from"]) & full(x["to"]) & F.coalesce(x["rel"].isin(RELATION_TYPES), F.lit(False)))
+    return F.slice(ents, 1, n_entities), F.slice(rels, 1, n_relations)
+
+
 def upsert(found: DataFrame) -> DataFrame:
     """One entity for each (normalized name, type): the first display name, and how often.
     ``found``: (memory_id, name, type, ord)."""

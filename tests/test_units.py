@@ -172,6 +172,8 @@ def test_entities(spark):
     got = values(spark, entities.payload_errors(F.col("e"), F.col("r")), rows, payload)
     assert [x.split(":")[0] for x in got[0]] == ["entities[1].name", "entities[2].name", "entities[3].type", "relations[0].to", "relations[1].rel"]
     assert got[1] == [] and len(got[2]) == 1
+    kept = spark.createDataFrame(rows, payload).select(*[c.alias(n) for c, n in zip(entities.cleaned(F.col("e"), F.col("r")), "er", strict=True)]).collect()
+    assert [(len(r.e), len(r.r)) for r in kept] == [(1, 1), (0, 0), (S.LLM_ENTITIES, 0)]
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "a string, b string")
     assert {r.id: r.canonical for r in entities.canonical(pairs).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
     f = spark.createDataFrame([("m1", "Bob's", "PERSON", 0, None), ("m2", "bobs", "PERSON", 0, None), ("m2", "bobs", "PERSON", 1, None)], "memory_id string, name string, type string, ord int, surface_form string")
@@ -211,6 +213,10 @@ def test_engine(spark, tmp_path):
     hits = e.search(asked, now=2000.0).collect()
     assert [(r.query_id, r.id) for r in hits if r["rank"] == 1] == [("q", "1"), ("r", "2")] or {(r.query_id, r.id) for r in hits} == {("q", "1"), ("r", "2")}
     assert e.search(asked, channels=(), now=2000.0).count() == 0
+    toy = lambda df, text: df.withColumn("embedding", F.array(*[F.length(F.regexp_replace(F.lower(text), f"[^{c}]", "")).cast("float") + 0.1 for c in "aeiou"]))
+    dense = Engine(spark, f"file://{tmp_path}/store", embed.Embedder("toy", "1", 5, 0.9), toy)
+    near = dense.search(spark.createDataFrame([("q", "Spark plans are lazy and optimised")], "query_id string, query string"), channels=("vec", "chunk_vec"), now=2000.0).collect()
+    assert near[0].id == "1" and {r.source for r in near} <= {"project", "global"}
     assert e.search(asked, filter_tags=["g"], now=2000.0).where("id = '1'").count() == 0
     change = spark.createDataFrame([("1", None, None, None, "archived"), ("2", None, None, None, "odd")], "id string, title string, content string, tags array<string>, status string")
     assert [r.status for r in e.update(change, now=3000.0).collect()] == ["archived"]
