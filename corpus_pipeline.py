@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.llm import language_id, packing, quality, simhash
-from strataseek.llm.common import new_dir, stash
+from strataseek.llm.common import new_dir
 from strataseek.llm.queries import table, tokenizer_path
 from strataseek.llm.token_memo import read_spec
 
@@ -26,20 +26,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the base rules and the cutoffs of their language and source."""
-    judged = stash(quality.judge(docs).select("doc_id", "kept"), "pipeline-quality")
-    return _only(docs, judged.where("kept"))
+    return quality.keep(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those learned from the documents themselves."""
     net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = stash(language_id.identify(docs, net), "pipeline-language")
-    return _only(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_BELIEF)))
+    return language_id.keep(docs, net, LEAST_BELIEF)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
+    """The document with the smallest doc_id of each SimHash component; rows without a
+    doc_id are in none and stay, rows that repeat one stay or go together."""
+    found = simhash.near_duplicates(docs).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     return _only(docs, found)
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 
@@ -33,6 +34,36 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return bare.select(*out)
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands: by its exact name first, then without regard to case."""
+    at = [i for i, n in enumerate(df.columns) if n == name] or [i for i, n in enumerate(df.columns) if n.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"column {name} is missing from {df.columns}")
+    return at[0]
+
+
+def append_columns(df: DataFrame, text: str, compute, fields: T.StructType) -> DataFrame:
+    """All columns of ``df``, named _c0, _c1, ..., and ``fields`` behind them, which
+    ``compute`` makes from a list of texts as Arrow arrays. Rows stay where they are: no
+    join brings the results back to whole documents."""
+    at = place_of(df, text)
+    bare = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    bare = bare.withColumn(f"_c{at}", F.col(f"_c{at}").cast("string"))
+    schema = T.StructType([*bare.schema.fields, *fields.fields])
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices_by_bytes(whole, at):
+                yield pa.record_batch([*batch.columns, *compute(batch.column(at).to_pylist())], names=schema.names)
+
+    return bare.mapInArrow(run, schema)
+
+
+def without_appended(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``append_columns`` was given, under their own names."""
+    return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pick, slices_by_bytes
+from .common import append_columns, pick, without_appended
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -160,24 +161,37 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+
+def predictor(net: ByteNet | None):
+    """From texts to arrays of lang_pred and score."""
+    tables: list = []
+
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        if net and not tables:
+            tables.append(net.tables())
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        at = [i for i, x in enumerate(texts) if net is not None and has_letter(x)]
+        if at:
+            x, of, sizes = windows_of([texts[i].encode("utf-8") for i in at])
+            total = np.zeros((len(at), len(net.langs)))
+            np.add.at(total, of, net.predict(x, tables[0]) * sizes[:, None])
+            total /= np.bincount(of, sizes)[:, None]
+            for i, best, q in zip(at, total.argmax(1).tolist(), np.clip(total.max(1), 0, 1).tolist(), strict=True):
+                langs[i], scores[i] = net.langs[best], q
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+
+    return run
+
+
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, lang_pred and score, a row for each row of ``docs``."""
+    made = append_columns(pick(docs, doc_id="bigint", text="string"), "text", predictor(net), PREDICTION)
+    return made.select(F.col("_c0").alias("doc_id"), "lang_pred", "score")
+
 
-    def run(batches):
-        tables = net.tables() if net else None
-        for whole in batches:
-            for batch in slices_by_bytes(whole, 1, 1 << 20):
-                texts = batch.column(1).to_pylist()
-                ok = [net is not None and has_letter(x) for x in texts]
-                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-                at = [i for i, x in enumerate(ok) if x]
-                if at:
-                    x, of, sizes = windows_of([texts[i].encode("utf-8") for i in at])
-                    total = np.zeros((len(at), len(net.langs)))
-                    np.add.at(total, of, net.predict(x, tables) * sizes[:, None])
-                    total /= np.bincount(of, sizes)[:, None]
-                    for i, best, q in zip(at, total.argmax(1).tolist(), np.clip(total.max(1), 0, 1).tolist(), strict=True):
-                        langs[i], scores[i] = net.langs[best], q
-                yield pa.record_batch([batch.column(0), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
-
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+def keep(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
+    """The whole rows whose language is known with belief ``least`` or more."""
+    made = append_columns(docs, "text", predictor(net), PREDICTION)
+    return without_appended(made.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, slices_by_bytes, stash
+from .common import append_columns, pick, place_of, stash, without_appended
 
 GROWTH = 1.04
 SPREADS = 4.0
@@ -75,17 +75,18 @@ def _has_word(line: str) -> bool:
 ALL = (*BASE, "n_lines", "n_upper", "n_marks")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts, a row for each row of ``docs``."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), *[T.StructField(x, T.LongType()) for x in ALL]])
+MEASURES = T.StructType([T.StructField(x, T.LongType()) for x in ALL])
+
 
-    def run(batches):
-        for whole in batches:
-            for batch in slices_by_bytes(whole, 3):
-                rows = [measures(x) for x in batch.column(3).to_pylist()]
-                yield pa.record_batch([*batch.columns[:3], *[pa.array([r[x] for r in rows], pa.int64()) for x in ALL]], names=schema.names)
+def measure_arrays(texts: list[str | None]) -> list[pa.Array]:
+    rows = [measures(x) for x in texts]
+    return [pa.array([r[x] for r in rows], pa.int64()) for x in ALL]
 
-    return pick(docs, doc_id="bigint", lang="string", source="string", text="string").mapInArrow(run, schema)
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source and the counts, a row for each row of ``docs``."""
+    made = append_columns(pick(docs, doc_id="bigint", lang="string", source="string", text="string"), "text", measure_arrays, MEASURES)
+    return made.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(("doc_id", "lang", "source"))], *ALL)
 
 
 def ratios() -> dict[str, F.Column]:
@@ -138,15 +139,28 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The counts of every document, base_failed, reasons (ratios past their cutoff)
-    and kept."""
-    counts = stash(measured(docs), "quality")
-    marks = cutoffs(counts).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", "cutoff"))).alias("cut"))
+def verdicts(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Adds base_failed, reasons (ratios past their cutoff) and kept to stored counts."""
+    marks = cutoffs(counts.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *ALL))
+    marks = marks.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", "cutoff"))).alias("cut"))
     marks = marks.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), "cut")
     # a hot group's rows stay where they are if the table of cutoffs is small enough to
     # be sent, and are split by the engine's skew join if not
-    both = counts.join(marks, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left")
+    both = counts.join(marks, F.col(lang).eqNullSafe(F.col("l2")) & F.col(source).eqNullSafe(F.col("s2")), "left").drop("l2", "s2")
     past = [F.when(v.cast("double") > F.col("cut")[k], F.lit(k)) for k, v in ratios().items()]
-    out = both.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_compact(F.array(*past)))
-    return out.select("doc_id", *ALL, "base_failed", "reasons", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"))
+    out = both.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_compact(F.array(*past))).drop("cut")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """The counts of every document, base_failed, reasons and kept."""
+    return verdicts(stash(measured(docs), "quality")).select("doc_id", *ALL, "base_failed", "reasons", "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The whole rows that ``judge`` keeps. Texts are measured once and stored with their
+    counts, which alone are read for the sketches; no text is dealt out."""
+    held = append_columns(docs, "text", measure_arrays, MEASURES)
+    lang, source = (f"_c{place_of(docs, x)}" for x in ("lang", "source"))
+    judged = verdicts(stash(held, "quality-rows"), lang, source)
+    return without_appended(judged.where("kept"), docs.columns)
