@@ -299,3 +299,12 @@ def test_stream_windows(spark, tmp_path, tiny):
     q = tasks.access_windows(live).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, tasks.access_windows(batch).collect()))
+
+
+def test_chunks_reach_the_end(spark):
+    text = "word " * 40000
+    made = chunker.explode_chunks(spark.createDataFrame([(1, text)], "id int, content string")).orderBy("chunk_index").collect()
+    assert len(made) > S.CHUNK_CAP and [r.chunk_index for r in made] == list(range(len(made)))
+    assert made[0].start == 0 and made[-1].end == len(text)
+    assert all(b.start <= a.end for a, b in zip(made, made[1:]))
+    assert all(text[r.start : r.end] == r.text for r in made[:-1])
