@@ -130,12 +130,18 @@ def proximity(seeds: DataFrame, direct: DataFrame, names: DataFrame, ends: DataF
     return kept.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= limit)
 
 
-def cycle_nodes(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def cycle_nodes(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Nodes (relation, id) on or between cycles: what is left when nodes without incoming
-    or without outgoing edges are taken off again and again. ``edges``: (relation, src, dst)."""
+    or without outgoing edges are taken off until nothing changes. ``edges``: (relation, src,
+    dst). Each round takes one edge off both ends of a path; if a
+    limit of rounds is given and not enough, it is an error."""
     left = edges.select("relation", "src", "dst").distinct()
     n = left.count()
-    for _ in range(rounds):
+    done = 0
+    while n:
+        if done == rounds:
+            raise RuntimeError(f"cycles not found in {rounds} rounds")
+        done += 1
         ins, outs = left.select("relation", F.col("dst").alias("src")).distinct(), left.select("relation", F.col("src").alias("dst")).distinct()
         left = left.join(ins, ["relation", "src"], "left_semi").join(outs, ["relation", "dst"], "left_semi").select("relation", "src", "dst").checkpoint()
         m = left.count()

@@ -308,3 +308,16 @@ def test_chunks_reach_the_end(spark):
     assert made[0].start == 0 and made[-1].end == len(text)
     assert all(b.start <= a.end for a, b in zip(made, made[1:]))
     assert all(text[r.start : r.end] == r.text for r in made[:-1])
+
+
+def test_rounds_are_not_a_cut(spark):
+    edges = spark.createDataFrame([("blocks", f"n{i}", f"n{i + 1}") for i in range(7)] + [("blocks", "a", "b"), ("blocks", "b", "a"), ("blocks", "b", "n0")], "relation string, src string, dst string").coalesce(1)
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.cycle_nodes(edges, rounds=2)
+    assert {r.id for r in graph.cycle_nodes(edges, rounds=None).collect()} == {"a", "b"}
+    # the least id stands at the far end of a path that falls towards it
+    path = [0, *range(5, 0, -1)]
+    pairs = spark.createDataFrame([(min(x), max(x)) for x in zip(path, path[1:])], "a int, b int").coalesce(1)
+    with pytest.raises(RuntimeError, match="rounds"):
+        entities.canonical(pairs, rounds=2)
+    assert {r.id: r.canonical for r in entities.canonical(pairs, rounds=None).collect()} == dict.fromkeys(path, 0)
