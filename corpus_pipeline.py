@@ -19,11 +19,6 @@ from strataseek.llm.token_memo import read_spec
 LEAST_BELIEF = 0.4
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (one row each)."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the base rules and the cutoffs of their language and source."""
     return quality.keep(docs)
@@ -36,10 +31,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component; rows without a
-    doc_id are in none and stay, rows that repeat one stay or go together."""
-    found = simhash.near_duplicates(docs).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    return _only(docs, found)
+    """One row of each SimHash component: the one with the smallest doc_id. Rows that repeat
+    a doc_id or have none are rows like any other."""
+    return simhash.keep(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, slices_by_bytes, stash
+from .common import append_columns, pick, place_of, slices_by_bytes, stash, without_appended
 from .components import components
 
 BITS = 64
@@ -109,3 +109,19 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     per = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = fps.join(per, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One whole row of each component: the one with the smallest doc_id, a null one last.
+    Each row is a row of its own, so repeated and null ids are removed like any other."""
+    fields = T.StructType([T.StructField("fp", T.LongType())])
+    made = append_columns(docs, "text", lambda texts: [pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))], fields)
+    # numbered once and stored, so a row has the same number whenever it is read
+    held = stash(made.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    doc_id = F.col(f"_c{place_of(docs, 'doc_id')}").cast("bigint")
+    best = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row")))
+    nodes = stash(held.groupBy("fp").agg(F.min("row").alias("node"), best.alias("best")), "simhash-nodes")
+    roots = components(fingerprint_links(nodes, radius), "simhash-links")
+    per = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
+    kept = held.join(per.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_semi")
+    return without_appended(kept, docs.columns)

@@ -45,3 +45,12 @@ def test_pipeline(spark, sf):
 
 def test_run(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).count() > 0
+
+
+def test_near_duplicates_without_own_ids(spark, tiny):
+    one, two = "one text of some words that is here again and again", "quite another line about ships and the sea in winter"
+    rows = [(7, one), (7, one), (None, one), (3, one), (None, two), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, tiny)
+    assert left.columns == docs.columns
+    assert sorted((r.text, r.doc_id) for r in left.collect()) == [(one, 3), (two, None)]
