@@ -37,8 +37,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: where each piece of each document lies."""
-    return packing.pack(docs, read_spec(tokenizer_path("word_bpe_49k.json")), keep_ids=False)
+    """Sequences of at most 2048 tokens: the ids of each piece of each document, and where it
+    lies."""
+    return packing.pack(docs, read_spec(tokenizer_path("word_bpe_49k.json")))
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]

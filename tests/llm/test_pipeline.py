@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on a small table."""
 
+import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -54,3 +55,9 @@ def test_near_duplicates_without_own_ids(spark, tiny):
     left = corpus_pipeline.near_duplicate_stage(spark, docs, tiny)
     assert left.columns == docs.columns
     assert sorted((r.text, r.doc_id) for r in left.collect()) == [(one, 3), (two, None)]
+
+
+def test_packing_stage_gives_ids(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(20)
+    packed = corpus_pipeline.packing_stage(spark, docs, tiny).collect()
+    assert packed and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in packed)
