@@ -6,7 +6,8 @@ diagonal i - j. Votes are summed by (document, template, diagonal). Short phrase
 (k = 2) must fill their diagonal: each full one is a place. Long templates (k = 4) may
 have words put in or left out: diagonals within ``DRIFT`` of each other are merged, and
 the merged span is verified: the share of the template's k-grams that it holds, and the
-share of the span that they fill, must both reach ``SHARE``.
+share of the span that they fill, must both reach ``SHARE``. Copies in a row are
+verified one by one too.
 
 The templates are fixed text, so the side that is sent to all tasks has a proven size.
 Null and empty texts have no words and no labels. Repeated rows are scanned row by row.
@@ -147,6 +148,21 @@ def scan(docs: DataFrame, least: float = SHARE, drift: int = DRIFT) -> DataFrame
     return per.select("doc_id", "n_words", "v").mapInArrow(judge, schema)
 
 
+def copies(group: list[tuple[int, int, int, int, int]]) -> list[list[tuple[int, int, int, int, int]]]:
+    """Diagonals of one template, split where what follows starts the template anew."""
+    out: list[list[tuple[int, int, int, int, int]]] = []
+    last = high = 0
+    for x in group:
+        _, diagonal, _, i0, i1 = x
+        if out and not (i0 > last and i0 - diagonal <= high):
+            out[-1].append(x)
+            last, high = max(last, i1), max(high, i1 - diagonal)
+        else:
+            out.append([x])
+            last, high = i1, i1 - diagonal
+    return out
+
+
 def verdict(votes: list[tuple[int, int, int, int, int]], least: float = SHARE, drift: int = DRIFT) -> tuple:
     """From one document's (template, diagonal, votes, first and last matched place):
     n_base, first_word, last_word, base_labels, labels, score, spans."""
@@ -154,20 +170,29 @@ def verdict(votes: list[tuple[int, int, int, int, int]], least: float = SHARE, d
     labels = [*PHRASES.values(), *NOTICES]
     need = [len(words_of(x)) - k + 1 for x, k in known]
     places, spans = [], []
-    merged: list[list[int]] = []
+    merged: list[list[tuple[int, int, int, int, int]]] = []
     for t, diagonal, n, i0, i1 in sorted(votes):
         if t < len(PHRASES):
             if n == need[t]:
                 places.append((diagonal, labels[t]))
-        elif merged and merged[-1][0] == t and diagonal - merged[-1][1] <= drift:
-            last = merged[-1]
-            merged[-1] = [t, diagonal, last[2] + n, min(last[3], i0), max(last[4], i1)]
+        elif merged and merged[-1][0][0] == t and diagonal - merged[-1][-1][1] <= drift:
+            merged[-1].append((t, diagonal, n, i0, i1))
         else:
-            merged.append([t, diagonal, n, i0, i1])
-    for t, _, n, i0, i1 in merged:
-        share = min(n / need[t], n / (i1 - i0 + 1), 1.0)
-        if share >= least:
-            spans.append({"label": labels[t], "first": i0, "last": i1 + LONG - 1, "share": share})
+            merged.append([(t, diagonal, n, i0, i1)])
+    for group in merged:
+        t = group[0][0]
+
+        def held(parts, t=t):
+            out = []
+            for part in parts:
+                n, i0, i1 = sum(x[2] for x in part), min(x[3] for x in part), max(x[4] for x in part)
+                out.append({"label": labels[t], "first": i0, "last": i1 + LONG - 1, "share": min(n / need[t], n / (i1 - i0 + 1), 1.0)})
+            return [x for x in out if x["share"] >= least]
+
+        # copies in a row lie within the drift of each other: as one, copy by copy, or
+        # diagonal by diagonal, whichever fits best
+        ways = [held([group])] + ([held(copies(group)), held([[x] for x in group])] if len(group) > 1 else [])
+        spans += max(ways, key=lambda w: max((x["share"] for x in w), default=0.0))
     base = sorted({x for _, x in places})
     at = [x for x, _ in places]
     score = 1.0 if places else max([x["share"] for x in spans], default=0.0)

@@ -407,3 +407,12 @@ def test_clashing_columns(spark):
     twice = df.select("*", F.lit("other").alias("TEXT"))
     assert {r.text for r in common.pick(twice, text="string").collect()} == {"a b c d e f", None}
     assert license_scan.scan(twice).count() == 2 and simhash.near_duplicates(twice).count() == 2
+
+
+def test_license_copies_in_a_row(spark):
+    notice = license_scan.NOTICES["mit-notice"]
+    texts = [" ".join([notice] * n) for n in (1, 2, 3, 40)]
+    rows = {r.doc_id: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    for k, n in enumerate((1, 2, 3, 40)):
+        assert rows[k].labels == "mit,mit-notice" and rows[k].n_base == n
+        assert [(x.label, x.first, x.last, x.share) for x in rows[k].spans] == [("mit-notice", 5 * i, 5 * i + 4, 1.0) for i in range(n)]
