@@ -13,21 +13,22 @@ documents, ids and blocks; doc_ids (int64) and a byte each for "null"; lengths
 ... in the first half of the words and 1, 3, 5, ... in the second), places (bytes),
 values (uint32).
 
-A file is written under a name of its own and then renamed, so a task that is run again
-replaces it whole. Null texts are documents of the end id alone; null doc_ids come first;
-rows with one doc_id are ordered by a hash of the text. An empty table writes no file.
+Files are written by Spark's text writer, one row a file, and read by its binary source, so
+they lie in any store that Spark reaches, a task that is run again replaces what it wrote,
+and their names are in the order of the documents. Null and empty texts are documents of
+the end id alone; a text of any length lies in one file; null doc_ids come first; rows with
+one doc_id are ordered by a hash of the text, equal rows are written each; other columns,
+whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_dir, pick, slices_by_bytes, stash
@@ -40,87 +41,112 @@ PERCENTILE = 0.9
 FILE_IDS = 8_000_000
 
 
+#: Bit length of each 16-bit number.
+_BITS = np.repeat(np.arange(17, dtype=np.uint8), [1, *(1 << np.arange(16))])
+#: Blocks that are encoded at a time, so that what is computed from them stays in cache.
+AT_A_TIME = 4096
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Of unsigned 32-bit numbers."""
+    if not values.size or int(values.max()) < 1 << 16:
+        return _BITS[values]
+    high = values >> np.uint32(16)
+    return np.where(high > 0, _BITS[high] + np.uint8(16), _BITS[values & np.uint32(0xFFFF)])
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks, and the blocks."""
     n = -(-len(ids) // BLOCK)
-    if not n:
-        return np.zeros(0, "<u8"), b""
-    full = np.full(n * BLOCK, ids[-1], np.uint32)
-    full[: len(ids)] = ids
-    full = full.reshape(n, BLOCK)
+    sizes, parts = [np.zeros(0, np.int64)], []
+    for s in range(0, n, AT_A_TIME):
+        own = np.ascontiguousarray(ids[s * BLOCK : (s + AT_A_TIME) * BLOCK], np.uint32)
+        if len(own) % BLOCK:
+            own = np.concatenate([own, np.full(-len(own) % BLOCK, own[-1], np.uint32)])
+        size, raw = _encode_some(own.reshape(-1, BLOCK))
+        sizes.append(size)
+        parts.append(raw)
+    ends = np.cumsum(np.concatenate(sizes))
+    return np.concatenate([[0], ends[:-1]]).astype("<u8")[: len(ends)], b"".join(parts)
+
+
+def _encode_some(full: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Sizes of some blocks, and the blocks."""
     low = full.min(1)
-    rest = (full - low[:, None]).astype(np.uint64)
-    bits = np.zeros(rest.shape, np.uint8)
-    for b in range(32):
-        bits += rest >= np.uint64(1 << b)
-    width = np.sort(bits, 1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
+    rest = full - low[:, None]
+    bits = bit_lengths(rest)
+    at = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    width = np.partition(bits, at, 1)[:, at]
     odd = bits > width[:, None]
     n_odd = odd.sum(1)
+    row, place = np.nonzero(odd)
+    values = rest[row, place].astype("<u4")
+    rest[row, place] = 0
     sizes = 6 + 16 * width.astype(np.int64) + 5 * n_odd
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.zeros(starts[-1], np.uint8)
-    starts = starts[:-1]
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
     out[starts[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
     out[starts + 4], out[starts + 5] = width, n_odd
     for w in np.unique(width).tolist():
-        at = np.flatnonzero(width == w)
         if w:
-            words = pack(np.where(odd[at], 0, rest[at]), w)
-            out[starts[at][:, None] + 6 + np.arange(16 * w)] = words.view(np.uint8).reshape(len(at), -1)
-    row, place = np.nonzero(odd)
+            at = np.flatnonzero(width == w)
+            words = pack(rest[at], w).view(np.uint8).reshape(len(at), -1)
+            out[(starts[at] + 6)[:, None] + np.arange(16 * w)] = words
     nth = np.arange(len(row)) - (np.cumsum(n_odd) - n_odd)[row]
     tail = starts + 6 + 16 * width.astype(np.int64)
     out[tail[row] + nth] = place
-    values = rest[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
-    out[(tail + n_odd)[row][:, None] + 4 * nth[:, None] + np.arange(4)] = values
-    return starts.astype("<u8"), out.tobytes()
+    out[(tail + n_odd)[row][:, None] + 4 * nth[:, None] + np.arange(4)] = values.view(np.uint8).reshape(-1, 4)
+    return sizes, out.tobytes()
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """(n, 128) values below 2^width as (n, 2 * width) words."""
-    lanes = values.reshape(len(values), BLOCK // 2, 2)
-    words = np.zeros((len(values), 2, width), np.uint64)
+    # a lane's values of all blocks lie side by side
+    lanes = values.T.astype(np.uint64).reshape(BLOCK // 2, 2, -1)
+    words = np.zeros((2, width, len(values)), np.uint64)
     for i in range(BLOCK // 2):
         at, shift = divmod(i * width, 64)
-        words[:, :, at] |= lanes[:, i] << np.uint64(shift)
+        words[:, at] |= lanes[i] << np.uint64(shift)
         if shift + width > 64:
-            words[:, :, at + 1] |= lanes[:, i] >> np.uint64(64 - shift)
-    return np.ascontiguousarray(words.reshape(len(values), -1), "<u8")
+            words[:, at + 1] |= lanes[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.reshape(2 * width, -1).T, "<u8")
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
-    lanes = words.reshape(len(words), 2, width)
-    out = np.zeros((len(words), BLOCK // 2, 2), np.uint64)
+    lanes = np.ascontiguousarray(words.T).reshape(2, width, -1)
+    out = np.empty((BLOCK // 2, 2, len(words)), np.uint32)
     mask = np.uint64((1 << width) - 1)
     for i in range(BLOCK // 2):
         at, shift = divmod(i * width, 64)
-        v = lanes[:, :, at] >> np.uint64(shift)
+        v = lanes[:, at] >> np.uint64(shift)
         if shift + width > 64:
-            v |= lanes[:, :, at + 1] << np.uint64(64 - shift)
-        out[:, i] = v & mask
-    return out.reshape(len(words), BLOCK)
+            v |= lanes[:, at + 1] << np.uint64(64 - shift)
+        out[i] = v & mask
+    return out.reshape(BLOCK, -1).T
 
 
 def decode_blocks(starts: np.ndarray, data: bytes, n_ids: int) -> np.ndarray:
     """The ids of the given blocks."""
-    if not len(starts):
-        return np.zeros(0, np.uint32)
     raw, starts = np.frombuffer(data, np.uint8), starts.astype(np.int64)
-    low = np.ascontiguousarray(raw[starts[:, None] + np.arange(4)]).view("<u4")[:, 0]
+    out = np.empty((len(starts), BLOCK), np.uint32)
+    for s in range(0, len(starts), AT_A_TIME):
+        _decode_some(starts[s : s + AT_A_TIME], raw, out[s : s + AT_A_TIME])
+    return out.reshape(-1)[:n_ids]
+
+
+def _decode_some(starts: np.ndarray, raw: np.ndarray, out: np.ndarray) -> None:
+    low = np.ascontiguousarray(raw[starts[:, None] + np.arange(4)]).view("<u4")
     width, n_odd = raw[starts + 4].astype(np.int64), raw[starts + 5].astype(np.int64)
-    out = np.zeros((len(starts), BLOCK), np.uint64)
     for w in np.unique(width).tolist():
-        if w:
-            at = np.flatnonzero(width == w)
-            words = np.ascontiguousarray(raw[starts[at][:, None] + 6 + np.arange(16 * w)]).view("<u8")
-            out[at] = unpack(words, w)
+        at = np.flatnonzero(width == w)
+        out[at] = unpack(np.ascontiguousarray(raw[(starts[at] + 6)[:, None] + np.arange(16 * w)]).view("<u8"), w) if w else 0
     row = np.repeat(np.arange(len(starts)), n_odd)
     nth = np.arange(len(row)) - (np.cumsum(n_odd) - n_odd)[row]
     tail = starts + 6 + 16 * width
     place = raw[tail[row] + nth]
     values = np.ascontiguousarray(raw[(tail + n_odd)[row][:, None] + 4 * nth[:, None] + np.arange(4)]).view("<u4")
     out[row, place] = values.reshape(-1)
-    return (out + low[:, None]).astype(np.uint32).reshape(-1)[:n_ids]
+    out += low  # modulo 2^32
 
 
 def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -146,47 +172,22 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else x for x, z in zip(doc_ids, null, strict=True)], lengths, decode_blocks(starts, raw[at:], n_ids)
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _put(path: str, raw: bytes) -> None:
-    fs, at = _fs(path)
-    own = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        f.write(raw)
-    fs.move(own, at)
-
-
-def _get(path: str) -> bytes:
-    fs, at = _fs(path)
-    with fs.open_input_stream(at) as f:
-        return f.read()
-
-
-def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encode, append the end id, write the files; the stored list of files
-    (shard, part, path, n_docs, n_ids)."""
+def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2, file_ids: int = FILE_IDS) -> str:
+    """Encode, append the end id and write the files to ``folder``, which is given back.
+    Spark's own writer commits them, so any store that Spark can write to will do."""
     end = np.array([end_id], "<u4").tobytes()
-    names = ["shard", "part", "path", "n_docs", "n_ids"]
-    fs, at = _fs(folder)
-    fs.create_dir(at, recursive=True)
 
     def run(batches):
-        memo, shard, part = memo_of(spec), TaskContext.get().partitionId(), 0
+        memo = memo_of(spec)
         doc_ids, raws = [], []
         size = 0
 
         def flush():
-            nonlocal part, doc_ids, raws, size
-            path = f"{folder}/tokens-{shard:07d}-{part:05d}.bin"
+            nonlocal doc_ids, raws, size
             lengths = np.array([len(x) // 4 for x in raws], np.int64)
-            _put(path, file_bytes(doc_ids, lengths, np.frombuffer(b"".join(raws), "<u4")))
-            row = pa.record_batch([pa.array([x], k) for x, k in ((shard, pa.int32()), (part, pa.int32()), (path, pa.string()), (len(doc_ids), pa.int64()), (size, pa.int64()))], names=names)
-            doc_ids, raws, size, part = [], [], 0, part + 1
-            return row
+            made = file_bytes(doc_ids, lengths, np.frombuffer(b"".join(raws), "<u4"))
+            doc_ids, raws, size = [], [], 0
+            return pa.record_batch([pa.array([made], pa.binary())], names=["file"])
 
         for whole in batches:
             for batch in slices_by_bytes(whole, 1):
@@ -201,32 +202,42 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
 
     tie = F.xxhash64("text")
     rows = pick(docs, doc_id="bigint", text="string").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return stash(rows.mapInArrow(run, "shard int, part int, path string, n_docs bigint, n_ids bigint"), "token-files")
+    # a row is a file: its bytes and a line feed, which the reader does not look at
+    files = rows.mapInArrow(run, "file binary").select(F.col("file").cast("string"))
+    files.write.option("maxRecordsPerFile", 1).mode("errorifexists").text(folder)
+    return folder
 
 
-def read_token_files(files: DataFrame, keep_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (and ids), read
-    from the files."""
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    at = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
+    from the files of ``folder``."""
+    names = ["shard", "part", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
 
     def run(batches):
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids, lengths, ids = read_file(_get(path))
+            for row in range(batch.num_rows):
+                shard, part = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                doc_ids, lengths, ids = read_file(batch.column(2)[row].as_py())
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                 starts = ends - lengths
                 for s in range(0, len(doc_ids), 2000):
                     cut = slice(s, s + 2000)
+                    n = len(doc_ids[cut])
                     parts = [raw[4 * i : 4 * j] for i, j in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(doc_ids[cut], pa.int64()), pa.array(starts[cut] + base), pa.array(lengths[cut]), pa.array([zlib.crc32(x) for x in parts], pa.int64()), *([pa.array(parts, pa.binary())] if keep_ids else [])], names=names)
-
-    dealt = at.repartition(max(2, files.sparkSession.sparkContext.defaultParallelism * 2))
-    return dealt.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
+                    place = [pa.array(np.full(n, shard), pa.int64()), pa.array(np.full(n, part), pa.int64())]
+                    yield pa.record_batch([*place, pa.array(doc_ids[cut], pa.int64()), pa.array(starts[cut]), pa.array(lengths[cut]), pa.array([zlib.crc32(x) for x in parts], pa.int64()), *([pa.array(parts, pa.binary())] if keep_ids else [])], names=names)
+
+    # the writer numbers files by task and within it, so their names are in doc_id order
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("bigint")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0")
+    files = found.select(number(r"part-(\d+)-[^/]*$").alias("shard"), number(r"-c(\d+)\.[^/]*$").alias("part"), "content")
+    held = stash(files.mapInArrow(run, "shard bigint, part bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep_ids), "token-files")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = held.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return held.join(base, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), *names[4:])
 
 
 def token_files(docs: DataFrame, spec: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Write to ``folder`` (a new one in the shared folder by default) and read back."""
-    folder = folder or new_dir(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, spec, folder, end_id))
+    folder = write_token_files(docs, spec, folder or new_dir(docs.sparkSession, "tokens"), end_id)
+    return read_token_files(docs.sparkSession, folder)

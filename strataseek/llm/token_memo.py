@@ -14,17 +14,39 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per worker; beyond it, the younger half is forgotten.
-MEMO = 1_000_000
-
-#: Python's white space has these four, the tokenizers' \s does not.
-_ODD = re.compile("[\x1c-\x1f]")
-#: What makes a cut before a comma or full stop, or around a line feed, unsafe.
+#: Bytes of pieces and ids kept per worker; beyond it, the younger half is forgotten.
+MEMO_BYTES = 160 << 20
+#: What a piece costs besides its characters and ids.
+MEMO_EACH = 150
+#: Longer pieces (unbroken strings) are encoded each time and never kept.
+MEMO_CHARS = 64
+
+#: Python's white space has these four, the tokenizers' \s does not; \0 marks pieces.
+_ODD = "\x1c\x1d\x1e\x1f\0"
+#: White space other than space and line feed.
+_RARE = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(r"\s\s")
-_STOP = re.compile(r"[.,](?<=[\W_].)")
 _SPACED = re.compile(r"\s*\S+|\s+")
 
 
+def _odd(text: str) -> bool:
+    return any(c in text for c in _ODD)
+
+
+def _runs(text: str) -> bool:
+    """Whether two white space characters follow each other."""
+    if any(c in text for c in _RARE):
+        return _RUN.search(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
+def _stops(text: str) -> bool:
+    """Whether a comma or full stop follows what is neither a letter nor a digit, so that
+    a cut before it is not safe."""
+    parts = text.replace(",", ".").split(".")
+    return any(not x[-1:].isalnum() for x in parts[1:-1]) or len(parts) > 1 and parts[0] != "" and not parts[0][-1].isalnum()
+
+
 def kind_of(spec: str) -> str:
     """``byte`` for a byte-level pre-tokenizer that keeps spaces, ``word`` for one
     that lower-cases and drops white space, ``whole`` for any other."""
@@ -41,25 +63,10 @@ def kind_of(spec: str) -> str:
     return "whole"
 
 
-class Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, key: str) -> bytes:
-        found = np.asarray(self.encode(key), dtype="<u4").tobytes()
-        if len(self) >= MEMO:
-            for old in list(self)[MEMO // 2 :]:
-                del self[old]
-        self[key] = found
-        return found
-
-
 class TokenMemo:
-    """``ids(text)`` gives what ``encode(text, add_special_tokens=False).ids`` does,
-    as bytes. Strings of special tokens inside a text are ordinary text."""
+    """``ids(text)`` gives what ``encode(text, add_special_tokens=False).ids`` does, as
+    little-endian unsigned 32-bit integers. A text that may hold the string of a special
+    token goes to the library whole."""
 
     def __init__(self, spec: str):
         import json
@@ -68,32 +75,49 @@ class TokenMemo:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        made = json.loads(spec)
         self.full = Tokenizer.from_str(spec)
-        self.full.encode_special_tokens = True
-        self.kind = kind_of(spec)
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None}))
-        self.bare.encode_special_tokens = True
-        self.pieces = Pieces(self._word if self.kind == "word" else self._byte)
+        self.bare = Tokenizer.from_str(json.dumps(made | {"normalizer": None}))
+        # what all strings of special tokens begin with, up to the first letter
+        self.probe = re.match(r"[^\w\s]*", os.path.commonprefix([x["content"] for x in made.get("added_tokens", [])]))[0]
+        special = bool(made.get("added_tokens"))
+        self.kind = kind_of(spec) if self.probe or not special else "whole"
+        self.pieces: dict[str, bytes] = {}
+        self.held = 0
         self.parts = {"byte": self._byte_parts, "word": self._word_parts, "whole": lambda text: None}[self.kind]
         # in a run of words of letters only, each begins (byte) or ends (word) with such a token
         mark = {"byte": lambda x: x.startswith("\u0120"), "word": lambda x: x.endswith("</w>"), "whole": lambda x: False}[self.kind]
-        self.edge = np.zeros(self.full.get_vocab_size() + 1, bool)
-        self.edge[[i for x, i in self.full.get_vocab().items() if mark(x)]] = True
+        vocab = self.full.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for x, i in vocab.items() if mark(x)]] = True
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(x) for x in texts]
-        self._learn([x for x in set().union(*[x for x in parts if x is not None]) if x not in self.pieces])
-        get = self.pieces.__getitem__
-        return [self._whole(x) if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts, strict=True)]
-
-    def _learn(self, new: list[str], run: int = 400) -> None:
-        """Encode many new words of letters in one call; the rest comes one by one."""
+        parts = [None if self.probe and self.probe in x else self.parts(x) for x in texts]
+        if self.held > MEMO_BYTES:
+            for old in list(self.pieces)[len(self.pieces) // 2 :]:
+                self.held -= len(old) + len(self.pieces.pop(old)) + MEMO_EACH
+        find = self.pieces.get
+        found = [None if p is None else list(map(find, p)) for p in parts]
+        missing = [(p, f, [i for i, v in enumerate(f) if v is None]) for p, f in zip(parts, found, strict=True) if p and None in f]
+        new = {p[i] for p, _, at in missing for i in at}
+        self._learn(new)
+        for p, f, at in missing:
+            for i in at:
+                f[i] = self.pieces[p[i]]
+        out = [self._whole(x) if f is None else b"".join(f) for x, f in zip(texts, found, strict=True)]
+        for x in new:
+            if len(x) > MEMO_CHARS:
+                del self.pieces[x]
+            else:
+                self.held += len(x) + len(self.pieces[x]) + MEMO_EACH
+        return out
+
+    def _learn(self, new: set[str], run: int = 400) -> None:
+        """Encode many new words of letters in one call, and the rest in another."""
         words = [x for x in new if x.isalpha() and (self.kind == "byte" or _plain(x))]
-        if len(self.pieces) + len(words) > MEMO:
-            return  # one by one then, which makes room
         runs = [words[i : i + run] for i in range(0, len(words), run)]
         lead = " " if self.kind == "byte" else ""
         for held, made in zip(runs, self.bare.encode_batch_fast([lead + " ".join(x) for x in runs], add_special_tokens=False), strict=True):
@@ -101,36 +125,42 @@ class TokenMemo:
             at = np.flatnonzero(self.edge[ids])
             ends = np.append(at[1:], len(ids)) if self.kind == "byte" else at + 1
             if len(ends) != len(held):
-                continue  # not as expected: one by one
+                continue  # not as expected: with the rest
             raw, ends = ids.tobytes(), (ends * 4).tolist()
             self.pieces.update(zip(held, (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+        rest = [x for x in new if x not in self.pieces]
+        if self.kind == "byte":
+            # a leading \0 marks a piece that has no space before it
+            self._encode(self.full, rest, [x[1:] if x[:1] == "\0" else " " + x for x in rest])
+        else:
+            plain = [x for x in rest if _plain(x)]
+            self._encode(self.bare, plain, plain)
+            other = [x for x in rest if not _plain(x)]
+            self._encode(self.full, other, other)
+
+    def _encode(self, tokenizer, keys: list[str], texts: list[str], at_a_time: int = 4096) -> None:
+        for i in range(0, len(keys), at_a_time):
+            made = tokenizer.encode_batch_fast(texts[i : i + at_a_time], add_special_tokens=False)
+            self.pieces.update((k, np.asarray(m.ids, dtype="<u4").tobytes()) for k, m in zip(keys[i : i + at_a_time], made, strict=True))
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _byte(self, key: str) -> list[int]:
-        # a leading \0 marks a piece that has no space before it
-        piece = key[1:] if key[:1] == "\0" else " " + key
-        return self.full.encode(piece, add_special_tokens=False).ids
-
-    def _word(self, key: str) -> list[int]:
-        return (self.bare if _plain(key) else self.full).encode(key, add_special_tokens=False).ids
-
     def _byte_parts(self, text: str) -> list[str] | None:
-        if _ODD.search(text) or "\0" in text:
+        if _odd(text):
             return None
-        if _RUN.search(text) or _STOP.search(text):
+        if _runs(text) or _stops(text):
             return ["\0" + x for x in _SPACED.findall(text)]
         parts = text.replace(",", " \0,").replace(".", " \0.").replace("\n", " \0\n \0").split(" ")
         parts[0] = "\0" + parts[0]
         return parts if text else []
 
     def _word_parts(self, text: str) -> list[str] | None:
-        if _ODD.search(text):
+        if _odd(text):
             return None
         if _latin(text):
             text = text.lower()  # these letters are lower-cased alike everywhere
-            if not _STOP.search(text):
+            if not _stops(text):
                 text = text.replace(",", " ,").replace(".", " .")
         return text.split()
 

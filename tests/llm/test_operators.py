@@ -271,7 +271,6 @@ def encode_all(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -281,6 +280,7 @@ def test_token_memo(spark, tiny, name):
     rng = random.Random(2)
     texts = ODD + list(texts_of(spark, tiny).values())
     texts += ["".join(rng.choice("aB é.,'\n\t!1  _\x1c ß́İΣ<|s") for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|>y", "<| endoftext |>", "q" * 70 + " " + "w" * 300, ".a", ",", " ."]
     assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids_of(texts)] == encode_all(name, texts)
 
 
@@ -396,8 +396,12 @@ def test_op10(spark, sf):
     spec = token_memo.read_spec(queries.tokenizer_path("byte_bpe_50k.json"))
     odd = frame(spark, ODD + [None])
     odd = odd.union(odd.limit(2)).union(odd.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
-    files = token_files.write_token_files(odd, spec, common.new_dir(spark, "t"), file_ids=2000)
-    back = token_files.read_token_files(files, keep_ids=True).orderBy("start").collect()
+    folder = token_files.write_token_files(odd, spec, common.new_dir(spark, "t"), file_ids=2000)
+    back = token_files.read_token_files(spark, folder, keep_ids=True).orderBy("start").collect()
+    plain = {r.doc_id: r.text for r in odd.collect()}
+    for r, ids in zip(back, encode_all("byte_bpe_50k.json", [plain[r.doc_id] for r in back]), strict=True):
+        if r.doc_id is not None:
+            assert np.frombuffer(r.ids, "<u4").tolist() == [*ids, 2]
     assert [r.doc_id for r in back] == sorted((r.doc_id for r in odd.collect()), key=lambda x: (x is not None, x))
     assert token_files.token_files(odd.limit(0), spec).count() == 0
 
