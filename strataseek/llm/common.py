@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL: dict[str, str] = {}
+from ..sources.scratch import new_dir, scratch, stash  # noqa: F401
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -64,39 +59,29 @@ def without_appended(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset and the master is local (tests) a temporary one is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = tempfile.mkdtemp(prefix="strataseek-")
-        atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
-    return f"file://{_LOCAL[key]}"
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/strataseek/{what}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that
-    outlives any executor."""
-    path = new_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def arrow_rows(batch: pa.RecordBatch, at_a_time: int):
-    """Slices of a batch, so that what is computed from a batch stays small."""
-    for i in range(0, batch.num_rows, at_a_time):
-        yield batch.slice(i, at_a_time)
+class Memo(dict):
+    """What ``find`` gives for each key, for a worker. The bytes held are bounded: beyond
+    ``MOST`` the younger half is forgotten, and keys over ``LONGEST`` are never kept, so
+    unbroken strings of any length cost nothing once they are done. Results do not depend
+    on what is held."""
+
+    MOST, LONGEST, EACH = 128 << 20, 64, 250
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.held = find, 0
+
+    def __missing__(self, key: str):
+        found = self.find(key)
+        if len(key) <= self.LONGEST:
+            size = self.EACH + 2 * len(key)
+            if self.held + size > self.MOST:
+                for old in list(self)[len(self) // 2 :]:
+                    del self[old]
+                    self.held -= self.EACH + 2 * len(old)
+            self[key] = found
+            self.held += size
+        return found
 
 
 def slices_by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20):

@@ -6,23 +6,27 @@ and ties. A character that no piece covers becomes its byte pieces (or the unkno
 a vocabulary without them). Decoding joins pieces, turns byte pieces into bytes and
 space marks into spaces and takes off the space that encoding put in front.
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded
-row by row.
+Null and empty texts have no ids and decode to the empty text; a very long text is cut
+before its space marks, and an unbroken string of any length takes 20 bytes for each of its
+own; ties are those of ``unigram``. Repeated rows are encoded row by row; other columns,
+whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, slices_by_bytes
+from .common import Memo, pick, slices_by_bytes
 from .unigram import BYTE, CONTROL, SPACE, UNKNOWN, Vocabulary
 
-MEMO = 600_000
+
+NONE = float("-inf")
+#: From this many bytes on, a segment's numbers are held in arrays.
+LONG = 4096
 
 
 class DoubleArray:
@@ -61,6 +65,7 @@ class DoubleArray:
             for b in steps:
                 self.check[base + b] = at
             todo += [(base + b, node[b]) for b in steps]
+        self.base, self.check, self.value = self.base.tolist(), self.check.tolist(), self.value.tolist()
 
     def _room(self, n: int) -> None:
         if n >= len(self.check):
@@ -69,23 +74,12 @@ class DoubleArray:
             self.check += array("i", [-1]) * more
             self.value += array("i", [-1]) * more
 
-    def prefixes(self, text: bytes, start: int):
-        """(end, value) of the keys that begin at ``start``, short ones first."""
-        base, check, value, at = self.base, self.check, self.value, 0
-        for i in range(start, len(text)):
-            to = base[at] + text[i]
-            if check[to] != at or not base[at]:
-                return
-            at = to
-            if value[at] >= 0:
-                yield i + 1, value[at]
-
 
-class Encoder(dict):
+class Encoder(Memo):
     """segment -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(self.coded)
         self.vocabulary = v = vocabulary
         self.trie = DoubleArray([(p.encode("utf-8"), i) for p, i, _ in v.matchable()])
         self.byte_of = {i: b for b, i in enumerate(v.byte_id) if i >= 0}
@@ -94,28 +88,41 @@ class Encoder(dict):
     def best(self, segment: str) -> list[int]:
         v, text = self.vocabulary, segment.encode("utf-8", "surrogatepass")
         n = len(text)
-        score: list[float | None] = [None] * (n + 1)
-        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        # numbers take four times the room in a list, and less time
+        if n < LONG:
+            score, came, by = [NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        else:
+            score, came, by = array("d", [NONE]) * (n + 1), array("q", bytes(8 * (n + 1))), array("i", [-1]) * (n + 1)
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
         score[0], start = 0.0, 0
         scores = v.scores
         while start < n:
             here, first = score[start], text[start]
             size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
             single = False
-            for end, piece in self.trie.prefixes(text, start):
-                single |= end - start == size
-                s = here + scores[piece]
-                if score[end] is None or s > score[end]:
-                    score[end], came[end] = s, (start, piece)
+            at = 0
+            for i in range(start, n):
+                to = base[at] + text[i]
+                if check[to] != at:
+                    break
+                at = to
+                piece = value[at]
+                if piece >= 0:
+                    end = i + 1
+                    if end - start == size:
+                        single = True
+                    s = here + scores[piece]
+                    if s > score[end]:
+                        score[end], came[end], by[end] = s, start, piece
             if not single:
                 end = start + size
                 s = here + v.unknown_score
-                if score[end] is None or s > score[end]:
-                    score[end], came[end] = s, (start, -1)
+                if s > score[end]:
+                    score[end], came[end], by[end] = s, start, -1
             start += size
         ids: list[int] = []
         while n:
-            start, piece = came[n]
+            start, piece = came[n], by[n]
             if piece >= 0:
                 ids.append(piece)
             elif v.byte_id[0] >= 0:
@@ -125,12 +132,8 @@ class Encoder(dict):
             n = start
         return ids[::-1]
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO:
-            for old in list(self)[MEMO // 2 :]:
-                del self[old]
-        self[key] = found = np.array(self.best(key), "<u4").tobytes()
-        return found
+    def coded(self, segment: str) -> bytes:
+        return np.array(self.best(segment), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.vocabulary.segments(text)))
@@ -142,24 +145,20 @@ class Encoder(dict):
         return raw.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(vocabulary: Vocabulary, key: int) -> Encoder:
+def encoder_of(vocabulary: Vocabulary, key: str) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(vocabulary)
     return _ENCODERS[key]
 
 
-def _key(v: Vocabulary) -> int:
-    return zlib.crc32("\0".join(v.pieces).encode("utf-8", "surrogatepass")) ^ len(v.pieces)
-
-
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids (array<int>), n_bytes (byte pieces among them)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
-    key = _key(vocabulary)
+    key = vocabulary.digest()
 
     def run(batches):
         encoder = encoder_of(shared.value, key)
@@ -179,7 +178,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def decode_pieces(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and text, from doc_id and ids."""
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
-    key = _key(vocabulary)
+    key = vocabulary.digest()
 
     def run(batches):
         encoder = encoder_of(shared.value, key)
@@ -194,7 +193,7 @@ def decode_pieces(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Encodes and decodes in one pass: doc_id, ids, n_bytes, same (the text came back)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    key = _key(vocabulary)
+    key = vocabulary.digest()
 
     def run(batches):
         encoder = encoder_of(shared.value, key)

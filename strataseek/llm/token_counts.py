@@ -4,26 +4,32 @@ An Aho-Corasick automaton over the vocabulary lists the pieces that end at each
 a text; dynamic programming carries, for each place, the best score and the number of
 pieces on its path, and nothing else. See ``unigram`` for scores, ties and bytes.
 
-Null and empty texts have 0 tokens and score 0. Repeated rows are counted row by row.
+Null and empty texts have 0 tokens and score 0; a very long text is cut before its space
+marks, and an unbroken string of any length takes 16 bytes a character; of equal sums the
+one whose last piece is longer wins. Repeated rows are counted row by row; other columns,
+whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from array import array
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, slices_by_bytes
+from .common import Memo, pick, slices_by_bytes
 from .unigram import Vocabulary
 
-#: Words kept per worker; beyond it the younger half is forgotten.
-MEMO = 600_000
+#: From this many characters on, a segment's numbers are held in arrays.
+LONG = 4096
 
 
-class Counter(dict):
+class Counter(Memo):
     """segment -> (tokens, score)."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(self.best)
         import ahocorasick
 
         self.vocabulary = vocabulary
@@ -34,40 +40,35 @@ class Counter(dict):
 
     def best(self, text: str) -> tuple[int, float]:
         n, unknown = len(text), self.vocabulary.unknown_score
-        score = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        reach = [False] * (n + 1)
-        reach[0] = True
-        ending: dict[int, list[tuple[int, float]]] = {}
-        for end, match in self.automaton.iter(text):
-            ending.setdefault(end + 1, []).append(match)
-        for end in range(1, n + 1):
-            best, pieces = None, 0
-            single = False
-            # long pieces first: of equal sums the earlier start stays
-            for size, s in sorted(ending.get(end, ()), reverse=True):
-                single |= size == 1
-                start = end - size
-                if best is None or score[start] + s > best:
-                    best, pieces = score[start] + s, count[start] + 1
-            if not single and (best is None or score[end - 1] + unknown > best):
-                best = score[end - 1] + unknown
-                pieces = count[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-            score[end], count[end] = best, pieces
+        # numbers take four times the room in a list, and less time
+        score, count = ([0.0] * (n + 1), [0] * (n + 1)) if n < LONG else (array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1))))
+        at, best, pieces, single = 0, 0.0, 0, True
+        # matches come by their ends, long ones first: of equal sums the earlier start stays
+        for last, match in chain(self.automaton.iter(text), [(n, None)]):
+            while at <= last:
+                if not single:
+                    s = score[at - 1] + unknown
+                    if best is None or s > best:
+                        best, pieces = s, count[at - 1] + len(text[at - 1].encode("utf-8", "surrogatepass"))
+                score[at], count[at] = best, pieces
+                at += 1
+                best, single = None, False
+            if match is None:
+                break
+            size, s = match
+            start = at - size
+            s += score[start]
+            if best is None or s > best:
+                best, pieces = s, count[start] + 1
+            if size == 1:
+                single = True
         return count[n], score[n]
 
-    def __missing__(self, key: str) -> tuple[int, float]:
-        if len(self) >= MEMO:
-            for old in list(self)[MEMO // 2 :]:
-                del self[old]
-        self[key] = found = self.best(key)
-        return found
-
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}
 
 
-def counter_of(vocabulary: Vocabulary, key: int) -> Counter:
+def counter_of(vocabulary: Vocabulary, key: str) -> Counter:
     if key not in _COUNTERS:
         _COUNTERS.clear()
         _COUNTERS[key] = Counter(vocabulary)
@@ -77,7 +78,7 @@ def counter_of(vocabulary: Vocabulary, key: int) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens and score (the sum over the best segmentation)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
-    key = hash((len(vocabulary.pieces), tuple(vocabulary.scores[:300]), vocabulary.pieces[-1]))
+    key = vocabulary.digest()
 
     def run(batches):
         memo = counter_of(shared.value, key)

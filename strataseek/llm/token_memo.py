@@ -15,9 +15,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of pieces and ids kept per worker; beyond it, the younger half is forgotten.
-MEMO_BYTES = 160 << 20
+MEMO_BYTES = 128 << 20
 #: What a piece costs besides its characters and ids.
-MEMO_EACH = 150
+MEMO_EACH = 200
 #: Longer pieces (unbroken strings) are encoded each time and never kept.
 MEMO_CHARS = 64
 

@@ -10,6 +10,7 @@ no piece covers costs the lowest score less ten and is written as its UTF-8 byte
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from dataclasses import dataclass, field
 
@@ -36,6 +37,10 @@ class Vocabulary:
         # a text may be cut before a space mark if no piece holds one after another character
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p, t in zip(self.pieces, self.types, strict=True) if t in (NORMAL, USER))
 
+    def digest(self) -> str:
+        """Of all that a segmentation depends on; workers keep what they built under it."""
+        return hashlib.sha256(repr((self.pieces, self.scores, self.types, self.add_dummy_prefix, self.squeeze)).encode("utf-8", "surrogatepass")).hexdigest()
+
     def matchable(self) -> list[tuple[str, int, float]]:
         return [(p, i, s) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types, strict=True)) if t == NORMAL and p]
 
