@@ -3,15 +3,20 @@
 For every document a few ratios are taken over its whole text. Each ratio's values in a
 (lang, source) group are kept as a quantile sketch with logarithmic buckets (DDSketch,
 Masson et al., 2019): counts by bucket, so sketches merge by addition in any order and
-a quantile is known within 2 %. A group's cutoff is its upper quartile plus a
-multiple of the spread between quartiles, at least ``FLOOR``; a group of fewer than
-``LEAST`` documents takes the merged sketch of its language, one below that the sketch
-of all. A group's cutoff may exceed its language's by the factor ``STRETCH`` at most,
-so a source that is mostly junk cannot set its own standard. A document is kept if it
-meets the base rules and none of its ratios passes its cutoff.
+a quantile is known within 2 %. A group's sketch is merged with its language's, which
+weighs as much as ``LANG_WEIGHT`` documents, and with that of all, which weighs as much as
+``ALL_WEIGHT``: a large group speaks for itself, a small one is drawn towards its parents,
+and nothing changes at any size. The cutoff is the upper quartile plus ``SPREADS`` times
+the distance between the quartiles; ``GUARD`` stands in for that distance where values are
+all but equal, so that a language or source in which a ratio is nearly always 0 does not
+lose each document in which it is not. A group's cutoff may exceed its language's by the
+factor ``STRETCH`` at most, so a source that is mostly junk cannot set its own standard. A
+document is kept if it meets the base rules and none of its ratios passes its cutoff.
 
 Null texts count as empty and fail the base rules. Null lang or source are groups of
-their own. Repeated rows are judged row by row.
+their own. A value at the cutoff stays. A very long text is measured whole and alone.
+Repeated rows are judged row by row; other columns, whatever their names, are left out by
+``judge`` and kept by ``keep``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ from pyspark.sql import types as T
 from .common import append_columns, pick, place_of, stash, without_appended
 
 GROWTH = 1.04
-SPREADS = 4.0
-LEAST = 50
-STRETCH = 3.0
-#: In 1/10000. No cutoff is lower, however even a group is.
-FLOOR = {"symbols": 1500, "dup_lines": 4000, "repeats": 5000, "capitals": 4000, "marks": 4500, "long_words": 150000}
+SPREADS = 6
+LANG_WEIGHT, ALL_WEIGHT = 64, 16
+STRETCH = 3
+#: In 1/10000: the least distance between quartiles.
+GUARD = {"symbols": 100, "dup_lines": 600, "repeats": 500, "capitals": 20, "marks": 120, "long_words": 1000}
+#: Weights of sketches are whole numbers of this share of a document.
+UNIT = 1_000_000
 SYMBOLS = frozenset("#*$%&|<>")
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -104,13 +111,14 @@ def bucket_top(b: F.Column) -> F.Column:
     return F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), b.cast("double")))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q1 and q3 of each sketch in ``sketch`` (keys, bucket, c); null keys are keys."""
-    run = Window.partitionBy(*keys).orderBy("bucket")
-    whole = Window.partitionBy(*keys)
-    at = sketch.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(whole))
-    first = lambda q: F.min(F.when(F.col("upto") >= F.col("n") * q, bucket_top(F.col("bucket"))))
-    return at.groupBy(*keys).agg(F.max("n").alias("n"), first(0.25).alias("q1"), first(0.75).alias("q3"))
+def fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The cutoff of each sketch (keys, ratio, bucket, w); null keys are keys."""
+    run = Window.partitionBy(*keys, "ratio").orderBy("bucket")
+    at = sketch.withColumn("upto", F.sum("w").over(run)).withColumn("n", F.sum("w").over(Window.partitionBy(*keys, "ratio")))
+    first = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, bucket_top(F.col("bucket"))))
+    guard = F.create_map(*[F.lit(x) for kv in GUARD.items() for x in kv])[F.col("ratio")].cast("double")
+    q = at.groupBy(*keys, "ratio").agg(first(1).alias("q1"), first(3).alias("q3"))
+    return q.select(*keys, "ratio", (F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), guard)).alias(name))
 
 
 def cutoffs(counts: DataFrame) -> DataFrame:
@@ -119,20 +127,25 @@ def cutoffs(counts: DataFrame) -> DataFrame:
     # texts that fail the base rules have no say in what is usual
     sound = counts.where(~base_failed())
     fine = stash(sound.select("lang", "source", named.alias("x")).select("lang", "source", "x.*").groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("c")), "quality-sketch")
-    floor = F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv])[F.col("ratio")].cast("double")
-    fence = lambda q1, q3: F.greatest(q3 + SPREADS * (q3 - q1), floor)
-
-    def level(keys: list[str], name: str) -> DataFrame:
-        merged = fine.groupBy(*keys, "ratio", "bucket").agg(F.sum("c").alias("c"))
-        q = _quartiles(merged, [*keys, "ratio"])
-        return q.select(*keys, "ratio", F.when(F.col("n") >= LEAST, fence(F.col("q1"), F.col("q3"))).alias(name))
-
-    own = level(["lang", "source"], "own")
-    by_lang = level(["lang"], "by_lang").select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), "by_lang")
-    overall = level([], "overall").select(F.col("ratio").alias("r3"), "overall")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))).join(overall, F.col("ratio") == F.col("r3"))
-    wide = F.coalesce("by_lang", "overall", floor)
-    return joined.select("lang", "source", "ratio", F.least(F.coalesce("own", wide), F.greatest(wide * STRETCH, floor)).alias("cutoff"))
+    by_lang = fine.groupBy("lang", "ratio", "bucket").agg(F.sum("c").alias("c"))
+    overall = fine.groupBy("ratio", "bucket").agg(F.sum("c").alias("c"))
+
+    def share(sketch: DataFrame, keys: list[str], weight: int) -> DataFrame:
+        n = F.sum("c").over(Window.partitionBy(*keys, "ratio"))
+        return sketch.withColumn("n", n).select(*keys, "ratio", "bucket", F.expr(f"{weight * UNIT}L * c div n").alias("w"))
+
+    own = lambda sketch, keys: sketch.select(*keys, "ratio", "bucket", (F.col("c") * UNIT).alias("w"))
+    langs = fine.select("lang").distinct()
+    groups = fine.select("lang", "source").distinct()
+    of_all = share(overall, [], ALL_WEIGHT)
+    of_lang = share(by_lang, ["lang"], LANG_WEIGHT).withColumnRenamed("lang", "l2")
+    merged_lang = own(by_lang, ["lang"]).unionByName(langs.crossJoin(of_all))  # a few hundred buckets for each language
+    merged = own(fine, ["lang", "source"]).unionByName(groups.join(of_lang, F.col("lang").eqNullSafe(F.col("l2"))).drop("l2")).unionByName(groups.crossJoin(of_all))
+    add = lambda df, keys: df.groupBy(*keys, "ratio", "bucket").agg(F.sum("w").alias("w"))
+    wide = fences(add(merged_lang, ["lang"]), ["lang"], "wide").select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), "wide")
+    fine_cut = fences(add(merged, ["lang", "source"]), ["lang", "source"], "own")
+    joined = fine_cut.join(wide, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2")))
+    return joined.select("lang", "source", "ratio", F.least("own", F.col("wide") * STRETCH).alias("cutoff"))
 
 
 def base_failed() -> F.Column:
@@ -143,9 +156,9 @@ def verdicts(counts: DataFrame, lang: str = "lang", source: str = "source") -> D
     """Adds base_failed, reasons (ratios past their cutoff) and kept to stored counts."""
     marks = cutoffs(counts.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *ALL))
     marks = marks.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", "cutoff"))).alias("cut"))
-    marks = marks.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), "cut")
-    # a hot group's rows stay where they are if the table of cutoffs is small enough to
-    # be sent, and are split by the engine's skew join if not
+    # stored, so the engine knows how small the table is: it is sent to all tasks and rows
+    # stay where they are; one too large for that is joined, and hot groups are split
+    marks = stash(marks.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), "cut"), "quality-cutoffs")
     both = counts.join(marks, F.col(lang).eqNullSafe(F.col("l2")) & F.col(source).eqNullSafe(F.col("s2")), "left").drop("l2", "s2")
     past = [F.when(v.cast("double") > F.col("cut")[k], F.lit(k)) for k, v in ratios().items()]
     out = both.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_compact(F.array(*past))).drop("cut")
