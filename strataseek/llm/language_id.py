@@ -5,12 +5,17 @@ bytes; each filter's maximum over the window, through a ReLU, feeds a softmax ov
 languages learned. A text is cut into windows that cover it all; its prediction is the
 mean of the windows' distributions, by their bytes.
 
-The network is fitted on a bounded sample: at most ``PER_LANG`` documents a language and
-``SAMPLE`` in all (those with the smallest hashes of doc_id), of each ``TRAIN_CHARS``
-characters. Fitting takes a fixed effort whatever the size of the corpus.
+The network is fitted on a bounded sample of labelled rows: at most ``PER_LANG`` documents
+a language and ``SAMPLE`` in all (those with the smallest hashes of doc_id), of each at
+most ``PER_DOC`` windows, spread evenly over its whole text. Fitting takes a fixed effort
+whatever the size of the corpus.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if
-nothing is labelled. Repeated rows are predicted row by row.
+nothing is labelled; of equal beliefs the language first in order wins. A very long text is
+predicted from all its windows, some at a time. Repeated rows are predicted row by row, and
+count once in the sample; rows without a doc_id are predicted and not in it. Other columns,
+whatever their names, are left out by ``identify`` and kept by ``keep``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LANG = 300
-SAMPLE = 20_000
-TRAIN_CHARS = 2_000
+SAMPLE = 6_000
+PER_DOC = 48
 EPOCHS = 6
 BATCH = 48
 
@@ -138,21 +143,36 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> ByteNet | None:
+def train(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, per_doc: int = PER_DOC) -> ByteNet | None:
     """Fit on ``labelled`` (doc_id, text, lang); None if it holds no labelled text."""
-    rows = pick(labelled, doc_id="bigint", text="string", lang="string").where("lang is not null and text is not null and length(text) > 0")
-    # ids first, so that no texts are dealt out to find the sample
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(sample).select("doc_id").distinct()
-    taken = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).limit(2 * sample).collect()
+    rows = pick(labelled, doc_id="bigint", text="string", lang="string").where("doc_id is not null and lang is not null and text is not null and length(text) > 0")
+    # ids first, so that no texts are dealt out to find the sample; of a large language only
+    # the share of hashes that holds about twice the sample goes to one task
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    size = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    least = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.col("n")) - F.lit(2.0**63)
+    few = hashed.join(size, "lang").where(F.col("h").cast("double") <= least).select("lang", "doc_id", "h").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = few.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "lang", "doc_id").limit(sample).select("doc_id", "lang")
+    # at most ``sample`` ids are sent to all tasks
+    texts = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            for doc, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x, _, _ = windows_of([text.encode("utf-8")])
+                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), per_doc)).astype(int))
+                yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([lang]), pa.array([x[at].tobytes()], pa.binary())], names=["doc_id", "lang", "windows"])
+
+    taken = texts.mapInArrow(cut, "doc_id bigint, lang string, windows binary").collect()
     if not taken:
         return None
-    taken = sorted(taken, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))
+    taken = sorted(taken, key=lambda r: (r["doc_id"], r["lang"]))
     langs = sorted({r["lang"] for r in taken})
     net = ByteNet(langs)
     if len(langs) > 1:
-        x, of, _ = windows_of([r["text"].encode("utf-8") for r in taken])
-        y = np.array([langs.index(r["lang"]) for r in taken])[of]
+        x = np.concatenate([np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in taken])
+        y = np.repeat([langs.index(r["lang"]) for r in taken], [len(r["windows"]) // WINDOW for r in taken])
         net.fit(x, y)
     return net
 
@@ -176,7 +196,9 @@ def predictor(net: ByteNet | None):
         if at:
             x, of, sizes = windows_of([texts[i].encode("utf-8") for i in at])
             total = np.zeros((len(at), len(net.langs)))
-            np.add.at(total, of, net.predict(x, tables[0]) * sizes[:, None])
+            for s in range(0, len(x), 4096):
+                part = slice(s, s + 4096)
+                np.add.at(total, of[part], net.predict(x[part], tables[0]) * sizes[part, None])
             total /= np.bincount(of, sizes)[:, None]
             for i, best, q in zip(at, total.argmax(1).tolist(), np.clip(total.max(1), 0, 1).tolist(), strict=True):
                 langs[i], scores[i] = net.langs[best], q
