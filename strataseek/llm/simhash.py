@@ -6,9 +6,16 @@ vector f(i) of radius + 1 bits; table v keeps the bits whose f(i) has odd overla
 v. Any ``radius`` vectors leave some v orthogonal to all of them, so every pair within
 the radius agrees in one of the 2^(radius+1) - 1 tables (Pagh, 2016).
 
-Nulls, empty texts and texts of white space have fingerprint 0 and link like any other.
-Rows with a null doc_id keep their fingerprint and have a null component_id. Rows
-that repeat a doc_id each have the component of their own fingerprint. An empty table gives an empty result.
+A bucket of up to ``PAIRWISE`` fingerprints is joined pair by pair; the fingerprints of
+larger ones meet at their one-bit neighbours, which at most 65 fingerprints share. Both
+ways link the same fingerprints.
+
+Nulls, empty texts and texts of white space have fingerprint 0 and link like any other; a
+very long text is read whole and alone, its hashes counted some at a time. Rows with a
+null doc_id keep their fingerprint and have a null component_id. Rows that repeat a doc_id
+each have the component of their own fingerprint; of documents that tie the smallest id
+stays. Other columns, whatever their names, are left out by ``near_duplicates`` and kept by
+``keep``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, pick, place_of, slices_by_bytes, stash, without_appended
-from .components import components
+from ..operators.components import components
 
 BITS = 64
 #: A bucket with more distinct fingerprints is joined through one-bit neighbours.
@@ -72,15 +79,15 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
 def fingerprint_links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within ``radius``.
 
-    ``distinct`` has fp and node, one row for each fingerprint. Buckets of up to
-    ``pairwise`` fingerprints are joined pair by pair and verified. In a larger bucket
-    fingerprints that share a neighbour at one flipped bit lie within 2 bits of each
-    other, and any two within 2 share one: they are linked to the least of them, so no
-    pairs are listed. (For a radius above 2 large buckets are joined pair by pair too.)
+    ``distinct`` has fp and node, one row for each fingerprint; ``radius`` is 1 or 2.
+    Buckets of up to ``pairwise`` fingerprints are joined pair by pair and verified. In a
+    larger bucket fingerprints that share a neighbour at one flipped bit lie within 2 bits
+    of each other, and any two within 2 share one: they are linked to the least of them, so
+    no pairs are listed.
     """
+    if radius not in (1, 2):
+        raise ValueError("the radius is 1 or 2")
     masks = covering_masks(radius)
-    if radius > 2:
-        pairwise = 1 << 62
     keyed = distinct.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "node", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(sizes, ["t", "key"])
@@ -88,14 +95,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIR
     other = small.select("t", "key", F.col("fp").alias("fp_b"), F.col("node").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius
     links = small.join(other, ["t", "key"]).where((F.col("fp") < F.col("fp_b")) & near).select(F.col("node").alias("a"), "b")
-    if radius > 2:
-        return links
     large = held.where(F.col("n") > pairwise).select("fp", "node").distinct()
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("bigint")) for i in range(BITS)]
     around = large.select("node", F.explode(F.array(*flips)).alias("near"))
     if radius == 2:
-        least = around.groupBy("near").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1")
-        return links.unionByName(around.join(least, "near").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+        # at most 65 fingerprints have a neighbour in common
+        met = around.groupBy("near").agg(F.min("node").alias("b"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
+        return links.unionByName(met.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
     exact = large.select(F.col("fp").alias("near"), F.col("node").alias("b"))
     return links.unionByName(around.join(exact, "near").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
@@ -122,6 +128,23 @@ def keep(docs: DataFrame, radius: int = 2) -> DataFrame:
     best = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row")))
     nodes = stash(held.groupBy("fp").agg(F.min("row").alias("node"), best.alias("best")), "simhash-nodes")
     roots = components(fingerprint_links(nodes, radius), "simhash-links")
-    per = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
-    kept = held.join(per.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_semi")
-    return without_appended(kept, docs.columns)
+    per = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "best")
+    best = per.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept_row"))
+    rows = held.select("row", "fp").join(per.select("fp", "root"), "fp").join(best, "root").where("row <> kept_row")
+    # a number is that of the task and the place in it; what goes is a bit for each place
+    gone = rows.select(F.shiftright("row", 33).alias("task"), F.col("row").bitwiseAND((1 << 33) - 1).alias("place"))
+
+    def bits(group: pa.Table) -> pa.Table:
+        place = group.column("place").to_numpy()
+        marks = np.zeros(-(-(int(place.max()) + 1) // 64) * 64, np.uint8)
+        marks[place] = 1
+        words = np.packbits(marks, bitorder="little").view("<i8")
+        return pa.table({"task": group.column("task").slice(0, 1), "marks": pa.array([words.tolist()], pa.list_(pa.int64()))})
+
+    # stored, so the engine knows its size: a bit a row goes to all tasks while that is
+    # small, and is joined by task, each of which has its share of rows, when it is not
+    marks = stash(gone.groupBy("task").applyInArrow(bits, "task bigint, marks array<bigint>"), "simhash-gone")
+    place = F.col("row").bitwiseAND((1 << 33) - 1)
+    word = F.coalesce(F.get("marks", (place / 64).cast("int")), F.lit(0))
+    both = held.withColumn("task", F.shiftright("row", 33)).join(marks, "task", "left")
+    return without_appended(both.where(F.getbit(word, (place % 64).cast("int")) == 0), docs.columns)
