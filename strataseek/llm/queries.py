@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embed_dedup, language_id, license_scan, packing, pieces, quality, simhash, token_counts, token_files, token_memo, unigram
+from .common import pick
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,7 +47,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", lang="string")
     net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.identify(docs, net).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -61,9 +62,10 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = pick(table(spark, sf_dir, "conversations"), conv_id="bigint", turn="bigint", role="string", text="string")
     added = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    return chat.digests(chat.read_chats(chat.format_chats(turns.unionByName(added))))
+    formatted = chat.format_chats(turns.unionByName(added))
+    return chat.digests(chat.read_chats(formatted))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,8 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(24 + length(role) + length(text)
     + length(text) - length(replace(text, '\\', ''))
-    + (length(text) - length(replace(text, '<|', ''))) // 2) as bigint) as formatted_chars
+    + (length(text) - length(replace(text, '<|', ''))) // 2) as bigint) as formatted_chars,
+  regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by turn, role, text), 's?(ua)+') as valid
 from turns group by conv_id
 """
 
@@ -120,16 +123,21 @@ m as (select w.doc_id, lang, source, len(ws) as n_words, length(regexp_replace(t
   length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[!?;:=~^@\\\\/\\[\\](){{}}_+]', '', 'g')) as n_marks
   from w join l using (doc_id) left join c using (doc_id)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-r as (select doc_id, lang, source, base_failed, unnest({list(quality.FLOOR)}) as ratio, unnest({[float(x) for x in quality.FLOOR.values()]}::double[]) as lowest,
+r as (select doc_id, lang, source, base_failed, unnest({list(quality.GUARD)}) as ratio, unnest({[float(x) for x in quality.GUARD.values()]}::double[]) as guard,
   unnest([floor(10000e0 * n_symbols / greatest(n_words, 1)), floor(10000e0 * n_dup_lines / greatest(n_lines, 1)), floor(10000e0 * n_repeat_words / greatest(n_words, 1)),
     floor(10000e0 * n_upper / greatest(word_chars, 1)), floor(10000e0 * n_marks / greatest(n_words, 1)), floor(10000e0 * word_chars / greatest(n_words, 1))]) as x from b),
-s as (select lang, source, ratio, lowest, if(x <= 0, 0, 1 + floor(ln(x) / ln({quality.GROWTH}e0))) as k, count(*) as c from r where not base_failed group by all),
-lv as (select 1 as lev, lang, source, ratio, lowest, k, c from s union all select 2, lang, null, ratio, lowest, k, sum(c) from s group by all union all select 3, null, null, ratio, lowest, k, sum(c) from s group by all),
-u as (select *, sum(c) over (partition by lev, lang, source, ratio order by k) as upto, sum(c) over (partition by lev, lang, source, ratio) as n from lv),
-q as (select lev, lang, source, ratio, lowest, max(n) as n, min(if(upto >= n * 0.25e0, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q1, min(if(upto >= n * 0.75e0, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q3 from u group by all),
-f as (select *, if(n >= {quality.LEAST}, greatest(q3 + {quality.SPREADS}e0 * (q3 - q1), lowest), null) as fence from q),
-cut as (select o.lang, o.source, o.ratio, least(coalesce(o.fence, y.fence, z.fence, o.lowest), greatest(coalesce(y.fence, z.fence, o.lowest) * {quality.STRETCH}e0, o.lowest)) as cutoff
-  from f o join f y on y.lev = 2 and y.lang is not distinct from o.lang and y.ratio = o.ratio join f z on z.lev = 3 and z.ratio = o.ratio where o.lev = 1),
+s as (select lang, source, ratio, guard, if(x <= 0, 0, 1 + floor(ln(x) / ln({quality.GROWTH}e0))) as k, count(*) as c from r where not base_failed group by all),
+sl as (select lang, ratio, guard, k, sum(c)::bigint as c from s group by all), sa as (select ratio, guard, k, sum(c)::bigint as c from s group by all),
+wl as (select lang, ratio, guard, k, {quality.LANG_WEIGHT * quality.UNIT} * c // sum(c) over (partition by lang, ratio) as w from sl),
+wa as (select ratio, guard, k, {quality.ALL_WEIGHT * quality.UNIT} * c // sum(c) over (partition by ratio) as w from sa),
+lv as (select 1 as lev, lang, source, ratio, guard, k, c * {quality.UNIT} as w from s union all select 1, g.lang, g.source, ratio, guard, k, w from (select distinct lang, source from s) g join wl on wl.lang is not distinct from g.lang
+  union all select 1, lang, source, ratio, guard, k, w from (select distinct lang, source from s) cross join wa
+  union all select 2, lang, null, ratio, guard, k, c * {quality.UNIT} from sl union all select 2, lang, null, ratio, guard, k, w from (select distinct lang from s) cross join wa),
+lw as (select lev, lang, source, ratio, guard, k, sum(w)::hugeint as w from lv group by all),
+u as (select *, sum(w) over (partition by lev, lang, source, ratio order by k) as upto, sum(w) over (partition by lev, lang, source, ratio) as n from lw),
+q as (select lev, lang, source, ratio, guard, min(if(upto * 4 >= n, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q1, min(if(upto * 4 >= n * 3, if(k <= 0, 0, pow({quality.GROWTH}e0, k)), null)) as q3 from u group by all),
+f as (select *, q3 + {quality.SPREADS} * greatest(q3 - q1, guard) as fence from q),
+cut as (select o.lang, o.source, o.ratio, least(o.fence, y.fence * {quality.STRETCH}) as cutoff from f o join f y on y.lev = 2 and y.lang is not distinct from o.lang and y.ratio = o.ratio where o.lev = 1),
 bad as (select distinct r.doc_id from r join cut on r.lang is not distinct from cut.lang and r.source is not distinct from cut.source and r.ratio = cut.ratio where x > cutoff)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept from b
 """

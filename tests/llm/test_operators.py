@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strataseek.llm import chat, common, components, embed_dedup, language_id, license_scan, packing, pieces, quality, queries, simhash, token_counts, token_files, token_memo, unigram
+from strataseek.operators import components
+from strataseek.llm import chat, common, embed_dedup, language_id, license_scan, packing, pieces, quality, queries, simhash, token_counts, token_files, token_memo, unigram
 
 ODD = ["", " ", "\n\n", "a", "a b", "A  b\tC", "é ß", "\x1c", "<|endoftext|> x", "<|im_end|>", "\\n \\ <\\|", "x" * 5000, "to be " * 400, "İ, ,x", "...", "日本語 テキスト", "😀😀"]
 
@@ -413,6 +414,136 @@ def test_clashing_columns(spark):
     assert license_scan.scan(twice).count() == 2 and simhash.near_duplicates(twice).count() == 2
 
 
+def odd_documents(spark):
+    """Nulls in each column, empty and very long texts, repeats and names that operators use."""
+    long = " ".join(f"word{i % 900} of the" for i in range(40_000))
+    rows = [(None, None, None, None), (1, "", "en", "s"), (2, long, None, "s"), (2, long, None, "s"), (3, "x" * 200_000, "en", None), (4, "the mit license of a text", "en", "s"), (None, "a b c", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    return df.selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(["DOC_ID", "row", "fp", "ids", "n_tokens", "score", "shard", "rank", "length", "start", "_c0", "n_words", "kept", "component_id", "lang_pred", "held_out", "valid"])], "text as TEXT")
+
+
+def runs(vocabulary):
+    words, spec = token_memo.read_spec(queries.tokenizer_path("word_bpe_49k.json")), token_memo.read_spec(queries.tokenizer_path("byte_bpe_50k.json"))
+    return {
+        1: lambda d: token_counts.count_tokens(d, vocabulary), 2: lambda d: pieces.round_trip(d, vocabulary), 3: simhash.near_duplicates, 4: quality.judge, 6: license_scan.scan,
+        7: lambda d: language_id.identify(d, language_id.train(d)), 8: lambda d: packing.pack(d, words), 10: lambda d: token_files.token_files(d, spec),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 8, 10])
+def test_odd_tables(spark, vocabulary, n):
+    df, run = odd_documents(spark), runs(vocabulary)[n]
+    got = run(df).collect()
+    ids = sorted((r.doc_id for r in df.collect()), key=lambda x: (x is not None, x))
+    if n == 8:
+        assert {r.doc_id for r in got} == set(ids) and sum(r.length for r in got) == sum({(r.doc_id, r.doc_tokens, r.ids_crc32): r.doc_tokens for r in got if r.start == 0 and r.doc_id is not None and r.doc_id != 2}.values()) + 2 * max(r.doc_tokens for r in got if r.doc_id == 2) + sum(r.doc_tokens for r in got if r.doc_id is None)
+    else:
+        assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x)) == ids
+    if n == 2:
+        assert all(r.same for r in got)
+    if n == 3:
+        assert {r.component_id for r in got if r.doc_id == 2} == {2}
+    if n == 6:
+        assert [r.labels for r in got if r.doc_id == 4] == ["mit"]
+    assert run(df.limit(0)).count() == 0
+
+
+def test_odd_vectors_and_chats(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1), (3, [0.0, -1.0], 1), (None, [1.0, 0.0], 1), (4, [-0.0, 1.0], 1)], "vec_id long, embedding array<double>, label long")
+    v = v.selectExpr("*", "0 as node", "1 as rep", "2 as VEC_ID", "3 as copies", "4 as k1", "5 as usable")
+    got = sorted((r.vec_id is not None, r.vec_id or 0, r.n_links, r.component_id) for r in embed_dedup.near_vectors(v).collect())
+    # vec_id 1 stands twice, with a vector near 2's and with one equal to 4's
+    assert got == [(False, 0, 0, None), (True, 1, 1, 1), (True, 1, 1, 1), (True, 2, 1, 1), (True, 3, 0, 3), (True, 4, 1, 1)]
+    c = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(1200)] + [(2, 0, None, None), (None, None, "user", "")], "conv_id long, turn long, role string, text string")
+    c = c.selectExpr("*", "1 as turns", "2 as taken", "3 as ROLE", "4 as valid", "5 as segments")
+    made = chat.format_chats(c)
+    out = {r.conv_id: r for r in chat.digests(chat.read_chats(made)).collect()}
+    assert (out[1].valid, out[1].n_turns, out[2].valid, out[None].n_turns) == (True, 1200, False, 1)
+    assert out[1].loss_chars == sum(len(f"t{i}") for i in range(1, 1200, 2))
+    assert chat.digests(chat.read_chats(chat.format_chats(c.limit(0)))).count() == 0
+    plan = chat.digests(chat.read_chats(made))._jdf.queryExecution().optimizedPlan().toString()
+    assert "taken" in plan and "aggregate" in plan.lower()
+
+
+def test_vocabularies_are_told_apart():
+    def v(score):
+        return unigram.Vocabulary(["<unk>", "a", "b", "ab"], [0.0, -1.0, -1.0, score], [2, 1, 1, 1], add_dummy_prefix=False)
+
+    for score, ids in ((-1.5, [3]), (-3.0, [1, 2])):
+        assert np.frombuffer(pieces.encoder_of(v(score), v(score).digest()).encode("ab"), "<u4").tolist() == ids
+        assert token_counts.counter_of(v(score), v(score).digest())["ab"][0] == len(ids)
+
+
+def plain_labels(text):
+    """Labels by comparing words alone: diagonals of equal 4-word windows, merged where one
+    goes on after the other, verified by the common words of span and template."""
+    words = plain_words(text)
+    out = set()
+    for label, notice in license_scan.NOTICES.items():
+        t = plain_words(notice)
+        at = defaultdict(list)
+        for i in range(len(words) - 3):
+            for j in range(len(t) - 3):
+                if words[i : i + 4] == t[j : j + 4]:
+                    at[i - j].append(i)
+        found = []
+        for d, places in sorted(at.items(), key=lambda x: (min(x[1]), x[0])):
+            for chain in reversed(found):
+                e, before = chain[-1]
+                if abs(d - e) <= license_scan.DRIFT and min(places) > max(before) and min(places) - d > max(before) - e:
+                    chain.append((d, places))
+                    break
+            else:
+                found.append([(d, places)])
+        for chain in found:
+            n, i0, i1 = sum(len(p) for _, p in chain), min(chain[0][1]), max(max(p) for _, p in chain)
+            lo, hi = max(0, chain[0][0]), i1 + len(t) - (max(chain[-1][1]) - chain[-1][0])
+            if min(n / (len(t) - 3), n / (i1 - i0 + 1)) >= 0.6 and common_share(words[lo:hi], t) >= 0.8:
+                out.add(label)
+    return out
+
+
+def plain_words(text):
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+
+def common_share(a, b):
+    best = {}
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            here = [best.get((i + 1, j), (0, 0, 0)), best.get((i, j + 1), (0, 0, 0))]
+            if a[i] == b[j]:
+                n, _, last = best.get((i + 1, j + 1), (0, 0, 0))
+                here.append((n + 1, i, last or i))
+            best[i, j] = max(here, key=lambda x: x[0])
+    n, first, last = best.get((0, 0), (0, 0, 0))
+    return n / max(len(b), last - first + 1)
+
+
+def test_license_labels(spark, sf):
+    texts = texts_of(spark, sf)
+    rng = random.Random(9)
+    made = []
+    for label, notice in license_scan.NOTICES.items():
+        w = plain_words(notice)
+        made += [notice, f"x {notice} y", f"{notice} {notice} between {notice}", " ".join(w[: len(w) // 2]), " ".join(rng.sample(w, len(w)))]
+        for _ in range(6):
+            v = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(v))
+                v[i : i + rng.randrange(2)] = ["other"] * rng.randrange(3)
+            made.append(" ".join(["a", "b", *v, *w, *v]))
+    texts |= {100_000 + i: t for i, t in enumerate(made)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for k, t in texts.items():
+        assert set(filter(None, got[k].labels.split(","))) == plain_labels(t) | set(filter(None, plain_licenses(t)[4].split(",")))
+        words = plain_words(t)
+        for x in got[k].spans:
+            assert common_share(words[x.first : x.last + 1], plain_words(license_scan.NOTICES[x.label])) >= 0.8
+
+
 def test_license_copies_in_a_row(spark):
     notice = license_scan.NOTICES["mit-notice"]
     texts = [" ".join([notice] * n) for n in (1, 2, 3, 40)]

@@ -1,9 +1,11 @@
 """The pipeline's stages against brute force on a small table."""
 
+import os
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import SparkSession
 
 import corpus_pipeline
 from strataseek.llm import simhash
@@ -61,3 +63,39 @@ def test_packing_stage_gives_ids(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(20)
     packed = corpus_pipeline.packing_stage(spark, docs, tiny).collect()
     assert packed and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in packed)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, tiny, name, stage):
+    """Nulls in each column, empty and very long texts, ties, repeats, clashing names; no rows."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(30)
+    long = " ".join(f"word{i % 700} and the" for i in range(60_000))
+    odd = [(None, None, None, None, None), (5_000, "", "en", "s", 0), (5_001, long, None, "s", len(long)), (5_001, long, None, "s", len(long)), (5_002, "x" * 300_000, "en", None, 300_000), (None, "one two " * 40, "en", "s", 3)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    clash = docs.selectExpr("*", "1 as DOC_ID", "2 as n_words", "3 as kept", "4 as _kept_id", "5 as fp", "6 as row", "7 as _c0", "8 as task", "9 as l2", "0 as lang_pred", "text as TEXT")
+    for table in (docs, clash):
+        out = stage(spark, table, tiny)
+        assert out.count() > 0 and stage(spark, table.limit(0), tiny).count() == 0
+        if name != "packing":
+            assert out.columns == table.columns
+    if name == "near_duplicates":
+        assert stage(spark, docs, tiny).where("doc_id = 5001").count() == 1
+
+
+def test_run_leaves_its_result_alone(spark, tiny):
+    found = corpus_pipeline.run(spark, tiny).inputFiles()
+    folder = found[0].rsplit("/", 2)[0].removeprefix("file://")
+    assert [x for x in os.listdir(folder) if x.startswith("pipeline-") and x.split("-")[1] != "packing"] == []
+
+
+def test_quality_adapts():
+    """Two sources with other habits have other cutoffs, which no one fixed cutoff can match."""
+    from strataseek.llm import quality
+
+    spark = SparkSession.getActiveSession()
+    words = lambda n, size: " ".join("abcdefghijkl"[i % 12] * size + str(i) for i in range(n))
+    rows = [(i, words(60 + i % 7, 3 + i % 2), "en", "chat") for i in range(300)] + [(1000 + i, words(60 + i % 7, 20 + i % 5), "en", "law") for i in range(300)]
+    # usual in one source and out of place in the other
+    rows += [(5000, words(60, 21), "en", "chat"), (5001, words(60, 21), "en", "law")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got.values()) == len(rows) - 1 and not got[5000] and got[5001]
