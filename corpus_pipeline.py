@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.llm import language_id, packing, quality, simhash
-from strataseek.llm.common import new_dir
+from strataseek.llm.common import pick
 from strataseek.llm.queries import table, tokenizer_path
 from strataseek.llm.token_memo import read_spec
+from strataseek.sources.scratch import new_dir, remove, scratch
 
 #: A text whose best language has less than this share of the belief is in none.
 LEAST_BELIEF = 0.4
@@ -26,7 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those learned from the documents themselves."""
-    net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    known = pick(docs, doc_id="bigint", text="string", lang="string")
+    net = language_id.train(known.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep(docs, net, LEAST_BELIEF)
 
 
@@ -49,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage stored for itself, and its input, go when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = new_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
