@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, pick, without_appended
+from .common import append_columns, pick, stash, without_appended
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -149,7 +149,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, p
     # ids first, so that no texts are dealt out to find the sample; of a large language only
     # the share of hashes that holds about twice the sample goes to one task
     hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    size = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    size = stash(hashed.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
     least = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.col("n")) - F.lit(2.0**63)
     few = hashed.join(size, "lang").where(F.col("h").cast("double") <= least).select("lang", "doc_id", "h").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))

@@ -130,7 +130,8 @@ def keep(docs: DataFrame, radius: int = 2) -> DataFrame:
     roots = components(fingerprint_links(nodes, radius), "simhash-links")
     per = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "best")
     best = per.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.row").alias("kept_row"))
-    rows = held.select("row", "fp").join(per.select("fp", "root"), "fp").join(best, "root").where("row <> kept_row")
+    best = stash(per.select("fp", "root").join(best, "root").select("fp", "kept_row"), "simhash-kept")
+    rows = held.select("row", "fp").join(best, "fp").where("row <> kept_row")
     # a number is that of the task and the place in it; what goes is a bit for each place
     gone = rows.select(F.shiftright("row", 33).alias("task"), F.col("row").bitwiseAND((1 << 33) - 1).alias("place"))
 
