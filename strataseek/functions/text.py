@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..schemas import SEARCH_STOPWORDS
+from ..schemas import FTS_OPERATORS, SEARCH_STOPWORDS
 
 WHITE = r"[ \t\n\r\f\x0B]"
 
@@ -49,10 +49,17 @@ def ascii_tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: F.length(t) > 0)
 
 
+def words(x: Column) -> Column:
+    """Letters and digits of any script, in lower case and without accents."""
+    return F.filter(F.split(F.lower(strip_accents(x)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+
+
 def query_tokens(x: Column) -> Column:
-    """Words of a query in order, repeats kept: at least two characters, no stop words."""
-    words = F.filter(F.split(F.regexp_replace(x, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda t: ~F.upper(t).isin("AND", "OR", "NOT", "NEAR"))
-    return F.filter(F.transform(words, F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(SEARCH_STOPWORDS))
+    """Words of a query in order, repeats kept: at least two characters, no stop words and no
+    operators."""
+    cut = F.split(F.regexp_replace(strip_accents(x), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+")
+    kept = F.filter(cut, lambda t: ~F.upper(t).isin(FTS_OPERATORS))
+    return F.filter(F.transform(kept, F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(SEARCH_STOPWORDS))
 
 
 def keywords(x: Column, stopwords: list[str]) -> Column:

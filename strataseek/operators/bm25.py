@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BM25_B, BM25_K1, IDF_FLOOR
+from .index import matching_terms
 
 
 def score(terms: DataFrame, post: DataFrame, lens: DataFrame, weights: dict[str, float], key: str = "id", by_corpus: bool = False) -> DataFrame:
     """query_id, key and score (higher is better).
 
-    Query terms meet postings on the first two characters, so the join is an equality;
-    postings are narrow and texts are never carried. For each query word: tf is the
+    Query prefixes are matched with the distinct vocabulary, and postings are joined on the
+    exact term; what a prefix finds in a document is summed once, however many queries have
+    it. Postings are narrow and texts are never carried. For each query word: tf is the
     weighted sum over fields and matching terms, idf = ln((N - n + 0.5) / (n + 0.5)), at
     least ``IDF_FLOOR``."""
     place = ["corpus"] if by_corpus else []
     tf = sum((F.col(f"tf_{f}") * w for f, w in weights.items()), F.lit(0.0))
-    hit = post.join(terms, "head").where(F.startswith("term", "prefix"))
-    per = hit.groupBy(*place, "query_id", "pos", key).agg(F.sum(tf).alias("f"))
+    known = matching_terms(post, terms)
+    found = post.join(known, "term").groupBy(*place, "prefix", key).agg(F.sum(tf).alias("f"))
     total = lens.groupBy(*place).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = per.groupBy(*place, "query_id", "pos").agg(F.count("*").alias("n"))
-    per = per.join(df, [*place, "query_id", "pos"]).join(lens, [*place, key])
+    df = found.groupBy(*place, "prefix").agg(F.count("*").alias("n"))
+    per = found.join(df, [*place, "prefix"]).join(lens, [*place, key])
     per = per.join(total, place) if place else per.crossJoin(F.broadcast(total))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    return per.groupBy(*place, "query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    asked = terms.groupBy("query_id", "prefix").agg(F.count("*").alias("times"))  # a repeated word counts again
+    each = per.select(*place, "prefix", key, part.alias("part")).join(asked, "prefix")
+    return each.groupBy(*place, "query_id", key).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
 
 
 def top(scored: DataFrame, n: int, key: str = "id", place: list[str] | None = None, order: list | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.text import find, normalize_name
 from ..functions.vector import cosine
+from .components import components
 
 # The vocabulary of entity types.
 ENTITY_TYPES = ["PERSON", "CONCEPT", "TECHNOLOGY", "PROJECT", "EVENT", "OTHER"]
@@ -69,25 +70,9 @@ def duplicate_pairs(entities: DataFrame, least: float = S.DEDUP_COSINE) -> DataF
     return a.join(b, "type").where("a < b").select("type", "a", "b", sim.alias("cosine")).where(F.col("cosine") >= least)
 
 
-def canonical(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, canonical): the least id that each paired entity reaches. If a limit of rounds
-    is given and not enough, it is an error."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    label = both.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct()
-    done = 0
-    while True:
-        if done == rounds:
-            raise RuntimeError(f"canonical ids not found in {rounds} rounds")
-        done += 1
-        near = both.join(label, F.col("v") == F.col("id")).groupBy("u").agg(F.min("root").alias("m"))
-        new = label.join(near, F.col("id") == F.col("u")).select("id", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved"))
-        # a root's own root is nearer still
-        up = new.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = new.join(up, "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"), "moved").checkpoint()
-        label = new.select("id", "root")
-        if new.where("moved").isEmpty():
-            break
-    return label.select("id", F.col("root").alias("canonical"))
+def canonical(pairs: DataFrame) -> DataFrame:
+    """(id, canonical): the least id that each paired entity reaches, however long the chain."""
+    return components(pairs.select("a", "b"), "canonical").select(F.col("node").alias("id"), F.col("root").alias("canonical"))
 
 
 def dedup_summary(pairs: DataFrame, confirmed: Column) -> DataFrame:

@@ -21,6 +21,24 @@ def recall_ndcg(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = KS) -
     return every.select("query_id", "k", (F.col("got") > 0).cast("double").alias("recall_any"), (F.col("got") >= F.col("n_true")).cast("double").alias("recall_all"), F.round(ndcg, 6).alias("ndcg"))
 
 
+def holding(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id) of the documents (id, text) that hold a query's text as it is.
+
+    Whoever holds a passage holds its words from the second to the last but one, so the
+    first ``k`` of these are hashed and joined with all windows of ``k`` words; what meets is
+    compared in full. Passages too short for that are compared with each document."""
+    words = lambda c: F.split(c, r"\s+")
+    gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
+    long = F.size(words(F.col("query"))) >= k + 2
+    keys = queries.where(long).select("query_id", "query", gram(words(F.col("query")), 2).alias("gram"))
+    cut = docs.select("id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= k)
+    grams = cut.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: gram(F.col("w"), i)))).alias("gram"))
+    met = grams.join(keys.select("query_id", "gram"), "gram").select("query_id", "id").distinct()
+    found = met.join(docs.select("id", "text"), "id").join(queries, "query_id")
+    short = docs.crossJoin(queries.where(~long))  # a stated set of queries
+    return found.select("query_id", "id", "text", "query").unionByName(short.select("query_id", "id", "text", "query")).where(F.contains("text", "query")).select("query_id", "id")
+
+
 def report(measured: DataFrame, types: DataFrame) -> DataFrame:
     """Means by type and k, and over all (type null)."""
     both = measured.join(types, "query_id")

@@ -9,37 +9,57 @@ from ..functions import text as T
 from ..schemas import DF_FALLBACK_WORDS, DF_MIN_DOCS, DF_RATIO
 
 
-def postings(docs: DataFrame, key: list[str], fields: dict[str, Column], stem: bool = False) -> DataFrame:
-    """key, term, head (its first two characters) and tf by field.
+TOKENS = {"ascii": T.ascii_tokens, "words": T.words}
+
+
+def postings(docs: DataFrame, key: list[str], fields: dict[str, Column], stem: bool = False, tokens: str = "ascii") -> DataFrame:
+    """key, term and tf by field.
 
     One pass over the texts; counts are partial aggregates before the shuffle by
-    (key, term)."""
-    named = F.array(*[F.struct(F.lit(f).alias("field"), T.ascii_tokens(F.coalesce(c, F.lit(""))).alias("toks")) for f, c in fields.items()])
+    (key, term). ``tokens`` is ``ascii``, or ``words`` for letters and digits of any script,
+    without accents; stems are found once for each distinct term."""
+    cut = TOKENS[tokens]
+    named = F.array(*[F.struct(F.lit(f).alias("field"), cut(F.coalesce(c, F.lit(""))).alias("toks")) for f, c in fields.items()])
     each = docs.select(*key, F.explode(named).alias("f")).select(*key, "f.field", F.explode("f.toks").alias("term"))
     if stem:
-        each = each.groupBy(*key, "field", "term").count().withColumn("term", T.stem("term"))
+        each = each.groupBy(*key, "field", "term").count()
+        stems = each.select("term").distinct().withColumn("stem", T.stem("term"))
+        each = each.join(stems, "term").withColumn("term", F.col("stem"))
         count = lambda f: F.sum(F.when(F.col("field") == f, F.col("count")).otherwise(0))
     else:
         count = lambda f: F.count_if(F.col("field") == f)
-    return each.groupBy(*key, "term").agg(*[count(f).cast("bigint").alias(f"tf_{f}") for f in fields]).withColumn("head", F.substring("term", 1, 2))
+    return each.groupBy(*key, "term").agg(*[count(f).cast("bigint").alias(f"tf_{f}") for f in fields])
 
 
-def lengths(docs: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
-    total = sum((F.size(T.ascii_tokens(F.coalesce(c, F.lit("")))) for c in fields.values()), F.lit(0))
+def lengths(docs: DataFrame, key: list[str], fields: dict[str, Column], tokens: str = "ascii") -> DataFrame:
+    total = sum((F.size(TOKENS[tokens](F.coalesce(c, F.lit("")))) for c in fields.values()), F.lit(0))
     return docs.select(*key, total.cast("bigint").alias("dl"))
 
 
-def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
-    """query_id, pos and prefix, repeats kept."""
-    toks = F.filter(T.ascii_tokens(F.col(text)), lambda t: (F.length(t) >= 2) & ~t.isin(T.SEARCH_STOPWORDS))
-    return queries.select("query_id", F.posexplode(toks).alias("pos", "prefix")).withColumn("head", F.substring("prefix", 1, 2))
+def query_terms(queries: DataFrame, text: str = "query", tokens: str = "ascii") -> DataFrame:
+    """query_id, pos and prefix, repeats kept: no operators, stop words or single letters."""
+    if tokens == "words":
+        toks = T.query_tokens(F.col(text))
+    else:
+        toks = F.filter(T.ascii_tokens(F.col(text)), lambda t: (F.length(t) >= 2) & ~t.isin(T.SEARCH_STOPWORDS))
+    return queries.select("query_id", F.posexplode(toks).alias("pos", "prefix"))
+
+
+def matching_terms(post: DataFrame, terms: DataFrame) -> DataFrame:
+    """prefix and each term of the vocabulary that begins with it. A term's own beginnings
+    are joined to the prefixes by equality, up to the length of the longest prefix."""
+    asked = terms.select("prefix").distinct()
+    longest = asked.agg(F.max(F.length("prefix")).alias("longest"))
+    known = post.select("term").distinct().crossJoin(F.broadcast(longest))  # one row
+    upto = F.least(F.length("term"), F.col("longest"))
+    begins = known.where(upto >= 1).select("term", F.explode(F.sequence(F.lit(1), upto)).alias("n"))
+    return begins.select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("prefix")).join(asked, "prefix")
 
 
 def prefix_frequency(terms: DataFrame, post: DataFrame, doc: str = "id") -> DataFrame:
-    """prefix and the number of documents with a term that begins so. Terms meet
-    prefixes by their first two characters, an equality, before the prefix is tested."""
-    distinct = terms.select("prefix", "head").distinct()
-    return post.select("head", "term", doc).join(distinct, "head").where(F.startswith("term", "prefix")).groupBy("prefix").agg(F.countDistinct(doc).alias("df"))
+    """prefix and the number of documents with a term that begins so."""
+    known = matching_terms(post, terms)
+    return post.select("term", doc).join(known, "term").select("prefix", doc).distinct().groupBy("prefix").agg(F.count("*").alias("df"))
 
 
 def prune(terms: DataFrame, df: DataFrame, n_docs: int, ratio: float = DF_RATIO) -> DataFrame:
