@@ -75,6 +75,53 @@ def canonical(pairs: DataFrame) -> DataFrame:
     return components(pairs.select("a", "b"), "canonical").select(F.col("node").alias("id"), F.col("root").alias("canonical"))
 
 
+def candidates(entities: DataFrame, least: int = 2) -> DataFrame:
+    """Entities that a dedup pass looks at: not merged yet, and mentioned ``least`` times."""
+    return entities.where(F.col("canonical_id").isNull() & (F.col("mention_count") >= least))
+
+
+def merge(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``entities`` with canonical_id set by confirmed pairs (a, b), chains resolved; the
+    least id of a group stays without one."""
+    roots = canonical(pairs).where("id <> canonical").select("id", F.col("canonical").alias("_root"))
+    return entities.join(roots, "id", "left").withColumn("canonical_id", F.coalesce("_root", "canonical_id")).drop("_root")
+
+
+def new_relations(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Relations (source_entity_id, target_entity_id, relation_type, source_memory_id,
+    confidence) that are not stored yet, each once; replays add nothing. Of repeats the most
+    certain stays; endpoints that could not be resolved, and loops, are left out."""
+    key = ["source_entity_id", "target_entity_id", "relation_type", "source_memory_id"]
+    whole = found.where("source_entity_id is not null and target_entity_id is not null and source_entity_id <> target_entity_id")
+    one = whole.groupBy(*key).agg(F.max("confidence").alias("confidence"))
+    same = F.lit(True)
+    old = stored.select(*[F.col(k).alias(f"_{k}") for k in key])
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return one.join(old, same, "left_anti")
+
+
+def write_extraction(payloads: DataFrame, contents: DataFrame, entities: DataFrame, mentioned: DataFrame, related: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What payloads (memory_id, entities, relations) add to the stored tables: all entities
+    with their new counts, new mentions and new relations. Replaying a payload adds no
+    mention and no relation."""
+    each = payloads.select("memory_id", F.posexplode("entities").alias("ord", "e")).select("memory_id", "ord", F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.coalesce("e.surface_form", "e.name").alias("surface_form"))
+    batch = upsert(each)
+    kept = entities.select("id", F.col("name").alias("_name"), F.col("mention_count").alias("_n"), "canonical_id")
+    both = batch.join(kept, "id", "full")
+    old = entities.select("id", F.col("name_normalized").alias("_nn"), F.col("type").alias("_type"))
+    both = both.join(old, "id", "left").select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("name_normalized", "_nn").alias("name_normalized"), F.coalesce("type", "_type").alias("type"), "canonical_id", (F.coalesce("_n", F.lit(0)) + F.coalesce("mention_count", F.lit(0))).alias("mention_count"))
+    said = mentions(each, contents).join(mentioned.select("memory_id", "entity_id", "surface_form"), ["memory_id", "entity_id", "surface_form"], "left_anti")
+    rels = payloads.select("memory_id", F.explode("relations").alias("r")).select("memory_id", F.col("r.from").alias("f"), F.col("r.to").alias("t"), F.col("r.rel").alias("relation_type"))
+    names = rels.select("memory_id", F.col("f").alias("name")).unionByName(rels.select("memory_id", F.col("t").alias("name"))).distinct()
+    keyed = each.select("memory_id", normalize_name(F.col("name")).alias("name_normalized"), "type").distinct().withColumn("id", F.md5(F.concat_ws("\0", "name_normalized", "type")))
+    known = resolve(names, keyed, both)
+    at = lambda c, out: known.select("memory_id", F.col("name").alias(c), F.col("entity_id").alias(out))
+    found = rels.join(at("f", "source_entity_id"), ["memory_id", "f"], "left").join(at("t", "target_entity_id"), ["memory_id", "t"], "left")
+    fresh = new_relations(found.select("source_entity_id", "target_entity_id", "relation_type", F.col("memory_id").alias("source_memory_id"), F.lit(1.0).alias("confidence")), related)
+    return both, said, fresh
+
+
 def dedup_summary(pairs: DataFrame, confirmed: Column) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(confirmed).alias("merged"), F.round(F.count("*") * S.CONFIRM_COST, 6).alias("cost"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.scratch import stash
 
 DIRECTIONS = ("outbound", "inbound", "both")
 CURVES = ("linear", "harmonic", "type-weighted")
@@ -72,13 +73,17 @@ def entity_neighbours(frontier: DataFrame, names: DataFrame, ends: DataFrame) ->
 
 
 def seed_entities(queries: DataFrame, mentions: DataFrame, entities: DataFrame, least: int = 0) -> DataFrame:
-    """(query_id, canon): exact normalized names (an equality join) and surface forms that
-    hold a query token. For the second, distinct surface forms alone meet the tokens of
-    the stated queries, and ``least`` can set a shortest token."""
+    """(query_id, canon): exact normalized names and surface forms that hold a query token.
+    The parts of the distinct surface forms, of the lengths that tokens have, are joined to the
+    tokens by equality; ``least`` can set a shortest token."""
     canon = entities.select(F.col("id").alias("entity_id"), "name_normalized", F.coalesce("canonical_id", "id").alias("canon"))
     named = queries.join(canon, F.col("token") == F.col("name_normalized")).select("query_id", "canon")
     surface = mentions.join(canon, "entity_id").select(F.lower("surface_form").alias("form"), "canon").distinct()
-    held = surface.join(queries.where(F.length("token") >= least), F.contains("form", "token")).select("query_id", "canon")
+    tokens = queries.where(F.length("token") >= max(least, 1))
+    sizes = tokens.agg(F.collect_set(F.length("token")).alias("sizes"))  # one row, as long as the longest token
+    forms = surface.select("form").distinct().crossJoin(F.broadcast(sizes)).select("form", F.explode("sizes").alias("n")).where(F.length("form") >= F.col("n"))
+    parts = forms.select("form", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("form") - F.col("n") + 1), lambda i: F.substr("form", i, F.col("n"))))).alias("token"))
+    held = parts.join(tokens, "token").select("query_id", "form").distinct().join(surface, "form").select("query_id", "canon")
     return named.unionByName(held).distinct()
 
 
@@ -130,22 +135,75 @@ def proximity(seeds: DataFrame, direct: DataFrame, names: DataFrame, ends: DataF
     return kept.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= limit)
 
 
-def cycle_nodes(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Nodes (relation, id) on or between cycles: what is left when nodes without incoming
-    or without outgoing edges are taken off until nothing changes. ``edges``: (relation, src,
-    dst). Each round takes one edge off both ends of a path; if a
-    limit of rounds is given and not enough, it is an error."""
-    left = edges.select("relation", "src", "dst").distinct()
-    n = left.count()
-    done = 0
-    while n:
-        if done == rounds:
-            raise RuntimeError(f"cycles not found in {rounds} rounds")
-        done += 1
-        ins, outs = left.select("relation", F.col("dst").alias("src")).distinct(), left.select("relation", F.col("src").alias("dst")).distinct()
-        left = left.join(ins, ["relation", "src"], "left_semi").join(outs, ["relation", "dst"], "left_semi").select("relation", "src", "dst").checkpoint()
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes (relation, id) that lie on a cycle. ``edges``: (relation, src, dst).
+
+    Two steps alternate until nothing changes. Edges from nodes that none leads to, and to
+    nodes that none leaves, are taken off. A node with one edge in and one out, if it draws
+    a higher lot than both its neighbours, is taken out and its two edges become one: a third
+    of a path goes in each round, so rounds grow with the logarithm of its length. What is
+    left are cycles and what lies between; there, and then for the nodes taken out, last ones
+    first, an edge is on a cycle if both its ends are in one component of mutual reach.
+    """
+    left = stash(edges.select("relation", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct(), "cycles")
+    taken: list[DataFrame] = []
+    n, quiet, done = left.count(), 0, 0
+    while n and quiet < 2:  # lots may fall badly: a round without change is tried again
+        ins, outs = left.groupBy("relation", F.col("dst").alias("id")).agg(F.count("*").alias("n_in"), F.min("src").alias("u")), left.groupBy("relation", F.col("src").alias("id")).agg(F.count("*").alias("n_out"), F.min("dst").alias("x"))
+        nodes = ins.join(outs, ["relation", "id"])
+        lot = lambda c, done=done: F.xxhash64(F.lit(done), F.col(c))
+        chain = nodes.where((F.col("n_in") == 1) & (F.col("n_out") == 1) & (F.col("u") != F.col("id")) & (lot("id") > lot("u")) & (lot("id") > lot("x")))
+        chain = stash(chain.select("relation", "id", "u", "x"), "cycles-taken")
+        both = nodes.select("relation", "id")
+        kept = left.join(both.withColumnRenamed("id", "src"), ["relation", "src"], "left_semi").join(both.withColumnRenamed("id", "dst"), ["relation", "dst"], "left_semi")
+        gone = chain.select("relation", "id")
+        kept = kept.join(gone.withColumnRenamed("id", "src"), ["relation", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["relation", "dst"], "left_anti")
+        left = stash(kept.select("relation", "src", "dst").unionByName(chain.select("relation", F.col("u").alias("src"), F.col("x").alias("dst"))).distinct(), "cycles")
         m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select("relation", F.col("src").alias("id")).unionByName(left.select("relation", F.col("dst").alias("id"))).distinct()
+        taken.append(chain)
+        quiet, n, done = (quiet + 1 if m == n else 0), m, done + 1
+    member = _mutual(left)
+    for chain in reversed(taken):
+        at = chain.join(member.select("relation", F.col("id").alias("u"), "comp"), ["relation", "u"]).join(member.select("relation", F.col("id").alias("x"), F.col("comp").alias("c2")), ["relation", "x"])
+        # both ends are one node (then its loop was the cycle) or in one component
+        member = stash(member.unionByName(at.where("comp = c2").select("relation", "id", "comp")), "cycles-members")
+    return member.select("relation", "id").distinct()
+
+
+def _mutual(edges: DataFrame) -> DataFrame:
+    """(relation, id, comp) of nodes on cycles: comp is one for nodes that reach each other.
+
+    Colours go forward along edges, the least winning; of each colour, what reaches its
+    source backwards within it is one component, and goes; until no edge is left."""
+    found = None
+    loops = edges.where("src = dst").select("relation", F.col("src").alias("id"))
+    left = edges.where("src <> dst")
+    while not left.isEmpty():
+        nodes = left.select("relation", F.col("src").alias("id")).unionByName(left.select("relation", F.col("dst").alias("id"))).distinct()
+        colour = _spread(nodes.withColumn("c", F.col("id")), left, "src", "dst")
+        named = colour.select("relation", "id", F.col("c").alias("comp"))
+        inside = left.join(named.select("relation", F.col("id").alias("src"), F.col("comp").alias("a")), ["relation", "src"]).join(named.select("relation", F.col("id").alias("dst"), F.col("comp").alias("b")), ["relation", "dst"]).where("a = b").select("relation", "src", "dst")
+        inside = stash(inside, "cycles-inside")
+        # 0 for the source of a colour, 1 for others; 0 goes backwards
+        reach = _spread(named.select("relation", "id", F.when(F.col("id") == F.col("comp"), "0").otherwise("1").alias("c")), inside, "dst", "src").where("c = '0'").select("relation", "id")
+        part = stash(named.join(reach, ["relation", "id"]), "cycles-part")
+        size = part.groupBy("relation", "comp").agg(F.count("*").alias("n")).where("n > 1").select("relation", "comp")
+        own = stash(part.join(size, ["relation", "comp"], "left_semi").select("relation", "id", "comp"), "cycles-found")
+        found = own if found is None else found.unionByName(own)
+        gone = part.select("relation", "id")
+        left = stash(inside.join(gone.withColumnRenamed("id", "src"), ["relation", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["relation", "dst"], "left_anti"), "cycles").select("relation", "src", "dst")
+    alone = loops.withColumn("comp", F.col("id"))
+    if found is None:
+        return alone
+    return found.unionByName(alone.join(found.select("relation", "id"), ["relation", "id"], "left_anti"))
+
+
+def _spread(values: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """The least ``c`` that reaches each node (relation, id, c), until nothing changes."""
+    now = stash(values, "cycles-spread")
+    while True:
+        near = edges.join(now.select("relation", F.col("id").alias(source), F.col("c").alias("m")), ["relation", source]).groupBy("relation", F.col(target).alias("id")).agg(F.min("m").alias("m"))
+        new = stash(now.join(near, ["relation", "id"], "left").select("relation", "id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")), "cycles-spread")
+        now = new.select("relation", "id", "c")
+        if new.where("moved").isEmpty():
+            return now

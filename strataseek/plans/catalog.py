@@ -48,8 +48,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Fewer files than cores would leave cores idle; with more, nothing is dealt out."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def memories(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     content = T.normalize(F.coalesce("text", F.lit("")))
     home = F.when(F.col("doc_id") % 4 == 0, "global").otherwise("project")
     return docs.select(F.col("doc_id").alias("id"), home.alias("corpus"), content.alias("content"), T.auto_title(content).alias("title"), T.canonical_tags(F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))).alias("tags"), F.when(F.col("doc_id") % 17 == 0, "archived").otherwise("active").alias("status"), (F.lit(NOW) - F.col("doc_id") * 3600.0).alias("accessed_at"))

@@ -16,7 +16,7 @@ PROJECT_BOOST = 0.10
 DF_RATIO, DF_MIN_DOCS, DF_FALLBACK_WORDS = 0.20, 100, 3
 COLUMN_WEIGHTS = {"title": 10.0, "content": 3.0, "tags": 1.0}
 BM25_K1, BM25_B, IDF_FLOOR = 1.2, 0.75, 1e-6
-RERANK_TOP_K, RERANK_MIN_COVERAGE = 15, 0.5
+RERANK_TOP_K, RERANK_MIN_COVERAGE, RERANK_MAX_TOKENS = 15, 0.5, 8192
 BLEND = (0.75, 0.6, 0.4)
 STRONG_TOP1, STRONG_RATIO = 0.4, 2.0
 CHUNK_THRESHOLD, CHUNK_LOW, CHUNK_MAX, CHUNK_TARGET, CHUNK_OVERLAP, CHUNK_MIN, CHUNK_CAP, CHUNK_LOOKBACK = 2000, 1500, 1200, 600, 60, 120, 200, 200

@@ -63,13 +63,21 @@ def enqueue_once(new: DataFrame, state: DataFrame) -> DataFrame:
     return new.join(state.where("status = 'pending'").select("task_id"), "task_id", "left_anti").select(*new.columns)
 
 
+def claim(state: DataFrame, order: list[str]) -> DataFrame:
+    """Of each type the pending task that has waited longest, as a partial aggregate."""
+    first = F.min(F.struct(*order, *[c for c in state.columns if c not in order])).alias("t")
+    return state.where("status = 'pending'").groupBy("task_type").agg(first).select("t.*")
+
+
 def run_stream(spark: SparkSession, events: str, out: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]):
     """Starts a query over event files: pending tasks of each type go through its handler,
     which returns (task_id, error); done or failed events are appended to ``out``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         pending = current(batch).where("status = 'pending'")
-        parts = []
+        # a task that no handler is set for fails, so it is seen
+        other = pending.where(~F.col("task_type").isin(list(handlers)))
+        parts = [other.withColumn("status", F.lit("failed")).withColumn("last_error", F.concat(F.lit("no handler for "), "task_type")).withColumn("attempts", F.col("attempts") + 1).select(*S.TASK.names)]
         for kind, handle in handlers.items():
             own = pending.where(F.col("task_type") == kind)
             told = handle(own).select("task_id", "error")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from oracle import connect, difference
 from strataseek.functions import chunker
-from strataseek.plans import catalog
+from strataseek.plans import catalog, upkeep  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -2,11 +2,14 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from strataseek import __main__ as cli
 from strataseek import schemas as S
+from strataseek import upkeep
 from strataseek.config import Config, ConfigError, blend_curve
 from strataseek.engine import Engine
 from strataseek.functions import chunker, embed
@@ -14,6 +17,7 @@ from strataseek.functions import text as T
 from strataseek.operators import bm25, entities, evaluate, fusion, graph, index, ontology
 from strataseek.providers import ExtractionFailed, NotConfigured, Registry, Retry, extract, parse_json, variants, with_retry
 from strataseek.sources import corpus as C
+from strataseek.sources import jsonl
 from strataseek.streaming import tasks
 
 
@@ -47,7 +51,9 @@ def test_chunker():
     assert all(text[a:b] == t for t, a, b in made[:-1])
     fenced = "intro text\n\n```\n# not a heading\n\ncode\n```\n\n" + "tail " * 500
     assert any("# not a heading\n\ncode" in c[0] for c in chunker.split(fenced))
-    assert len(chunker.split("word " * 40000)) == S.CHUNK_CAP
+    many = chunker.split("word " * 40000)
+    assert len(many) > 300 and many[0][1] == 0 and many[-1][2] == 200000
+    assert all(b[1] <= a[2] for a, b in zip(many, many[1:], strict=False))
     assert chunker.split("short text", force=True) == [("short text", 0, 10)]
 
 
@@ -215,10 +221,15 @@ def test_engine(spark, tmp_path):
     assert e.search(asked, channels=(), now=2000.0).count() == 0
     toy = lambda df, text: df.withColumn("embedding", F.array(*[F.length(F.regexp_replace(F.lower(text), f"[^{c}]", "")).cast("float") + 0.1 for c in "aeiou"]))
     dense = Engine(spark, f"file://{tmp_path}/store", embed.Embedder("toy", "1", 5, 0.9), toy)
+    # search reads stored vectors alone, and these were stored without an embedder
+    assert dense.search(asked, channels=("vec",), now=2000.0).count() == 0
+    assert [upkeep.embed_pending(c, dense.embedder, toy, 1500.0) for c in dense.corpora.values()] == [2, 1]
     near = dense.search(spark.createDataFrame([("q", "Spark plans are lazy and optimised")], "query_id string, query string"), channels=("vec", "chunk_vec"), now=2000.0).collect()
     assert near[0].id == "1" and {r.source for r in near} <= {"project", "global"}
     assert e.search(asked, filter_tags=["g"], now=2000.0).where("id = '1'").count() == 0
-    change = spark.createDataFrame([("1", None, None, None, "archived"), ("2", None, None, None, "odd")], "id string, title string, content string, tags array<string>, status string")
+    odd = spark.createDataFrame([("2", None, None, None, "odd")], "id string, title string, content string, tags array<string>, status string")
+    assert "status is one of" in e.call("update", changes=odd)["error"]
+    change = spark.createDataFrame([("1", None, None, None, "archived")], "id string, title string, content string, tags array<string>, status string")
     assert [r.status for r in e.update(change, now=3000.0).collect()] == ["archived"]
     assert [r.id for r in e.list().collect()] == ["2"] and e.list(archived=True).collect()[0].total == 2
     link = spark.createDataFrame([("1", "2", "knows", "{}", False), ("1", "1", "self", "{}", False), ("1", "8", "x", "{}", False)], "source_id string, target_id string, relation string, properties string, deleted boolean")
@@ -231,6 +242,43 @@ def test_engine(spark, tmp_path):
     assert e.call("nothing")["error"] and e.call("set_project", name="p")["project"] == "p"
 
 
+def test_engine_stages(spark, tmp_path):
+    seen = []
+
+    def rerank(query, items):
+        seen.append((query, [x["id"] for x in items]))
+        return [{"id": 2, "score": 0.9}, {"id": "1", "score": 0.1}, {"id": 99, "score": 1}]
+
+    e = Engine(spark, f"file://{tmp_path}", providers=Registry({"expand": lambda q: {"lex": ["marine", "marine", q], "vec": "x"}, "rerank": rerank}))
+    long = "Ships carry grain over the sea. " * 100 + "At the very end an albatross."
+    raw = spark.createDataFrame([("a", None, "Größe und Gewicht der Schiffe", None), ("b", None, "Marine life is rich in winter", None), ("c", None, long, None), ("d", None, "Ships and the sea in winter", None)], "id string, title string, content string, tags array<string>")
+    e.store(raw, now=1.0)
+    e.store(spark.createDataFrame([("e", None, "written at the same time", None)], raw.schema), now=1.0)
+    assert e.live().count() == 5 and e.live().select("version").distinct().count() == 2
+    ask = lambda *q: spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(q)], "query_id string, query string")
+    ids = lambda df: [r.id for r in df.orderBy("query_id", "rank").collect()]
+    assert ids(e.search(ask("GRÖSSE größe NEAR the"), channels=("fts",), now=2.0)) == ["a"]
+    assert ids(e.search(ask("albatross"), channels=("chunk_fts",), now=2.0)) == ["c"]
+    assert "b" not in ids(e.search(ask("sea"), now=2.0)) and "b" in ids(e.search(ask("sea"), now=2.0, expand=True)) and "expansion_ms" in e.timings
+    plain = [(r.score, r.id) for r in e.search(ask("ships sea winter"), now=2.0).orderBy("rank").collect()]
+    blend = [0.75 * plain[0][0] + 0.25 * 0.1, 0.75 * plain[1][0] + 0.25 * 0.9, *(x for x, _ in plain[2:])]
+    want = [x for _, _, x in sorted((-round(v, 6), i, x) for i, (v, (_, x)) in enumerate(zip(blend, plain)))] if 2 / len(plain) >= 0.5 else [x for _, x in plain]
+    assert ids(e.search(ask("ships sea winter"), now=2.0, rerank=True)) == want
+    assert seen == [("ships sea winter", list(range(1, len(plain) + 1)))]
+    assert e.search(ask("sea"), channels=(), now=2.0).count() == 0 and e.reason == "no_channels_selected"
+    told = e.suggest(spark.createDataFrame([("d",)], "id string")).collect()
+    assert "d" not in {r.target_id for r in told} and all(r.reason for r in told)
+    # a text that had chunks keeps them until it falls under the lower threshold
+    chunked = lambda: upkeep.chunks(e.corpora["project"]).where("id = 'c'").count()
+    change = lambda text, now: e.update(spark.createDataFrame([("c", None, text, None, None)], "id string, title string, content string, tags array<string>, status string"), now=now)
+    assert chunked() > 1
+    change(long[:1600], 3.0)
+    assert chunked() > 0
+    change(long[:1400], 4.0)
+    assert chunked() == 0
+    assert {r.task_type for r in e.corpora["project"].table("tasks", S.TASK).collect()} <= {"extract"}
+
+
 def test_queue_and_stream(spark, tmp_path):
     ev = [("t1", "m1", "reembed", "pending", 0, None, 1.0), ("t2", "m2", "extract", "pending", 0, None, 1.0), ("t2", "m2", "extract", "running", 1, None, 5.0), ("t3", "m3", "dedup", "done", 1, None, 1.0)]
     log = spark.createDataFrame(ev, S.TASK)
@@ -310,14 +358,63 @@ def test_chunks_reach_the_end(spark):
     assert all(text[r.start : r.end] == r.text for r in made[:-1])
 
 
-def test_rounds_are_not_a_cut(spark):
-    edges = spark.createDataFrame([("blocks", f"n{i}", f"n{i + 1}") for i in range(7)] + [("blocks", "a", "b"), ("blocks", "b", "a"), ("blocks", "b", "n0")], "relation string, src string, dst string").coalesce(1)
-    with pytest.raises(RuntimeError, match="rounds"):
-        graph.cycle_nodes(edges, rounds=2)
-    assert {r.id for r in graph.cycle_nodes(edges, rounds=None).collect()} == {"a", "b"}
-    # the least id stands at the far end of a path that falls towards it
-    path = [0, *range(5, 0, -1)]
-    pairs = spark.createDataFrame([(min(x), max(x)) for x in zip(path, path[1:])], "a int, b int").coalesce(1)
-    with pytest.raises(RuntimeError, match="rounds"):
-        entities.canonical(pairs, rounds=2)
-    assert {r.id: r.canonical for r in entities.canonical(pairs, rounds=None).collect()} == dict.fromkeys(path, 0)
+def test_long_chains(spark):
+    order = list(range(600))
+    random.Random(2).shuffle(order)
+    chain = [(f"n{a:03d}", f"n{b:03d}") for a, b in zip(order, order[1:])]
+    pairs = spark.createDataFrame([(min(x), max(x)) for x in chain], "a string, b string")
+    assert {r.canonical for r in entities.canonical(pairs).collect()} == {"n000"}
+    # a ring, a chain of 500 that leaves it, and one between two rings
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(500)] + [("a", "b"), ("b", "a"), ("b", "c0"), ("a", "m"), ("m", "x"), ("x", "y"), ("y", "x"), ("z", "z")]
+    edges = spark.createDataFrame([("blocks", *e) for e in edges], "relation string, src string, dst string")
+    assert {r.id for r in graph.cycle_nodes(edges).collect()} == {"a", "b", "x", "y", "z"}
+
+
+def test_extraction_is_replayed(spark):
+    payload = [("m1", [("Ada Byron", "PERSON", "Ada"), ("Engine", "TECHNOLOGY", None)], [("ada byron", "Engine", "mentions"), ("Engine", "nowhere", "mentions")])]
+    payloads = spark.createDataFrame(payload, "memory_id string, entities array<struct<name:string,type:string,surface_form:string>>, relations array<struct<from:string,to:string,rel:string>>")
+    contents = spark.createDataFrame([("m1", "So Ada made notes on the Engine")], "id string, content string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    ents, said, rels = entities.write_extraction(payloads, contents, empty(S.ENTITY), empty(S.MENTION), empty(S.RELATION))
+    assert sorted((r.name, r.mention_count) for r in ents.collect()) == [("Ada Byron", 1), ("Engine", 1)]
+    assert sorted((r.surface_form, r.start, r.end) for r in said.collect()) == [("Ada", 3, 6), ("Engine", 25, 31)]
+    assert [r.relation_type for r in rels.collect()] == ["mentions"]
+    again = entities.write_extraction(payloads, contents, ents, said, rels)
+    assert (again[1].count(), again[2].count()) == (0, 0) and {r.mention_count for r in again[0].collect()} == {2}
+    pairs = spark.createDataFrame([(ents.where("name = 'Engine'").first().id, "zz")], "a string, b string")
+    assert entities.merge(ents, pairs).where("canonical_id is not null").count() <= 1
+
+
+def test_upkeep(spark, tmp_path):
+    fast = embed.Embedder("fast", "1", 384, 0.7)
+    made = lambda df, text: embed.local_embed(df, "id", text)
+    e = Engine(spark, str(tmp_path), fast, made)
+    long = " ".join(f"sentence {i} is here." for i in range(200))
+    e.store(spark.createDataFrame([("1", None, "a text about ships", ["a"]), ("2", None, long, [])], "id string, title string, content string, tags array<string>"), now=1.0)
+    corpus = e.corpora["project"]
+    upkeep.persist_chunks(corpus, corpus.live())
+    n = upkeep.chunks(corpus).count()
+    assert n > 3 and [(r.level, r.total, r.stale) for r in upkeep.status(corpus, fast).collect()] == [("memory", 2, 2), ("chunk", n, n)]
+    assert upkeep.embed_pending(corpus, embed.LOCAL, made, 2.0) == 0
+    assert upkeep.embed_pending(corpus, fast, made, 2.0) == 2 and upkeep.embed_pending(corpus, fast, made, 2.5, "chunk") == n
+    assert upkeep.embed_pending(corpus, fast, made, 3.0) == 0 and upkeep.current_dim(corpus) == 384 and upkeep.backups(corpus) == []
+    newer = embed.Embedder("fast", "2", 384, 0.7)
+    assert upkeep.pending(corpus, "memory", newer).count() == 2 and upkeep.reembed(corpus, newer, made, 4.0) == 2 + n
+    assert upkeep.pending(corpus, "chunk", newer).count() == 0 and upkeep.backups(corpus) == [0]
+    state = spark.createDataFrame([("t", None, "dedup", "pending", 0, None, 1.0)], S.TASK)
+    assert upkeep.worker_needed(state, corpus.live().limit(0), embed.LOCAL, True) and not upkeep.worker_needed(state, corpus.live().limit(0), embed.LOCAL, False)
+    args = cli.parser().parse_args([str(tmp_path), "reindex", "--drop-backup", "0"])
+    assert cli.run(spark, args, e) == [] and cli.run(spark, cli.parser().parse_args([str(tmp_path), "queue"]), e) == []
+    assert cli.run(spark, cli.parser().parse_args([str(tmp_path), "status"]), e)[0]["total"] == 2
+
+
+def test_questions(spark, tmp_path):
+    q = {"question_id": "q1", "question_type": "t", "question": "?", "answer": "!", "question_date": "2023/05/20 (Sat) 02:21", "haystack_sessions": [[{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}], []], "haystack_session_ids": ["s1", "s2"], "haystack_dates": ["d1", "d2"], "answer_session_ids": ["s1"]}
+    (tmp_path / "q.json").write_text(json.dumps([q, q | {"question_id": "q2", "question_date": "soon"}]))
+    found = jsonl.read_questions(spark, str(tmp_path / "q.json"))
+    assert sorted((r.question_id, r.session, r.turn, r.text) for r in jsonl.turns(found).collect()) == [(k, "s1", i, t) for k in ("q1", "q2") for i, t in enumerate(("hi", "ho"))]
+    assert [str(r.d) for r in found.select(jsonl.question_day(F.col("question_date")).alias("d")).collect()] == ["2023-05-20", "None"]
+    judged = found.select(F.col("question_type").alias("type"), (F.col("question_id") == "q1").alias("correct"))
+    jsonl.write_lines(judged, str(tmp_path / "out"))
+    back = jsonl.read_lines(spark, str(tmp_path / "out"), "type string, correct boolean")
+    assert [(r.type, r.accuracy, r.n) for r in evaluate.accuracy(back).collect()] == [("t", 0.5, 2)]
