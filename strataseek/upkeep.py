@@ -44,8 +44,8 @@ def persist_chunks(corpus: Corpus, memories: DataFrame, was_chunked: DataFrame |
 
 
 def chunks(corpus: Corpus) -> DataFrame:
-    """Chunks of the live versions."""
-    return corpus.table("chunks", CHUNK).join(corpus.live().select("id", "version"), ["id", "version"], "left_semi")
+    """Chunks of the live versions, each once, however often they were written."""
+    return corpus.table("chunks", CHUNK).dropDuplicates(["id", "chunk_index", "version"]).join(corpus.live().select("id", "version"), ["id", "version"], "left_semi")
 
 
 def generations(corpus: Corpus) -> list[int]:
