@@ -135,12 +135,14 @@ def cutoffs(counts: DataFrame) -> DataFrame:
         return sketch.withColumn("n", n).select(*keys, "ratio", "bucket", F.expr(f"{weight * UNIT}L * c div n").alias("w"))
 
     own = lambda sketch, keys: sketch.select(*keys, "ratio", "bucket", (F.col("c") * UNIT).alias("w"))
-    langs = fine.select("lang").distinct()
-    groups = fine.select("lang", "source").distinct()
+    # every group has each ratio, so parents are joined by it; a parent has a few hundred buckets
+    langs = by_lang.select("lang", "ratio").distinct()
+    groups = fine.select("lang", "source", "ratio").distinct()
     of_all = share(overall, [], ALL_WEIGHT)
-    of_lang = share(by_lang, ["lang"], LANG_WEIGHT).withColumnRenamed("lang", "l2")
-    merged_lang = own(by_lang, ["lang"]).unionByName(langs.crossJoin(of_all))  # a few hundred buckets for each language
-    merged = own(fine, ["lang", "source"]).unionByName(groups.join(of_lang, F.col("lang").eqNullSafe(F.col("l2"))).drop("l2")).unionByName(groups.crossJoin(of_all))
+    of_lang = share(by_lang, ["lang"], LANG_WEIGHT).select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), "bucket", "w")
+    same = F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))
+    merged_lang = own(by_lang, ["lang"]).unionByName(langs.join(of_all, "ratio"))
+    merged = own(fine, ["lang", "source"]).unionByName(groups.join(of_lang, same).drop("l2", "r2")).unionByName(groups.join(of_all, "ratio"))
     add = lambda df, keys: df.groupBy(*keys, "ratio", "bucket").agg(F.sum("w").alias("w"))
     wide = fences(add(merged_lang, ["lang"]), ["lang"], "wide").select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), "wide")
     fine_cut = fences(add(merged, ["lang", "source"]), ["lang", "source"], "own")
