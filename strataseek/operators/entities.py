@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import find, normalize_name
-from ..functions.vector import cosine
 from .components import components
 
 # The vocabulary of entity types.
 ENTITY_TYPES = ["PERSON", "CONCEPT", "TECHNOLOGY", "PROJECT", "EVENT", "OTHER"]
 RELATION_TYPES = list(S.RELATION_WEIGHTS)
 
+#: Vectors of one type that are compared with as many at once.
+TILE = 4096
+
 
 def payload_errors(entities: Column, relations: Column, types: list[str] = ENTITY_TYPES) -> Column:
     """All that is wrong with an agent's payload, as an array of messages; items that are
@@ -59,15 +63,49 @@ def resolve(names: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:
     return own.unionByName(old).groupBy("memory_id", "name").agg(F.min_by("entity_id", F.struct("p", "c", "entity_id")).alias("entity_id"))
 
 
-def duplicate_pairs(entities: DataFrame, least: float = S.DEDUP_COSINE) -> DataFrame:
-    """Pairs a < b of one type whose vectors have cosine >= ``least``.
-
-    ``entities``: (id, type, embedding). The type is the join key; within a type the pass
-    is exact."""
-    a = entities.select(F.col("id").alias("a"), "type", F.col("embedding").alias("va"))
-    b = entities.select(F.col("id").alias("b"), "type", F.col("embedding").alias("vb"))
-    sim = F.round(cosine(F.col("va"), F.col("vb")), 6)
-    return a.join(b, "type").where("a < b").select("type", "a", "b", sim.alias("cosine")).where(F.col("cosine") >= least)
+def duplicate_pairs(entities: DataFrame, least: float = S.DEDUP_COSINE, tile: int = TILE) -> DataFrame:
+    """Pairs a < b of one type whose vectors have cosine >= ``least``, which is above 0.
+
+    ``entities``: (id, type, embedding). The pass is exact. A type with more than ``tile``
+    vectors is cut into tiles by a hash; two tiles meet in one group, in blocks, and only
+    pairs that hold are given out, so no group holds more than two tiles and pairs that do
+    not hold are never rows. Null types, and vectors that are null, zero or of another length
+    or have a component that is null or not finite, pair with nothing."""
+    if least <= 0:
+        raise ValueError("the least cosine is above 0")
+    big = F.lit(float("inf"))
+    rows = entities.select("id", "type", F.col("embedding").cast("array<double>").alias("embedding")).where("type is not null and id is not null and size(embedding) > 0")
+    rows = rows.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
+    key = ["type", "dim"]
+    large = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    tiled = rows.join(large, key, "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
+    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = tiled.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "embedding")
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own, ids = group.column("own").to_numpy(), group.column("id").to_numpy()
+        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for s in range(0, len(left), 512):
+            rows = left[s : s + 512]
+            near = np.round(x[rows] @ x[right].T, 6)
+            a, b = np.nonzero(near >= least)
+            cosines, a, b = near[a, b], rows[a], right[b]
+            # within a tile each pair is met from both sides
+            keep = (ids[a] < ids[b]) if i == j else (ids[a] != ids[b])
+            a, b, cosines = a[keep], b[keep], cosines[keep]
+            turn = ids[a] > ids[b]
+            found.append((np.where(turn, b, a), np.where(turn, a, b), cosines))
+        a, b, cosines = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        kind = group.schema.field("id").type
+        return pa.table({"type": group.column("type").take(pa.array(a, pa.int64())), "a": pa.array(ids[a], kind), "b": pa.array(ids[b], kind), "cosine": pa.array(cosines, pa.float64())})
+
+    kinds = dict(entities.select("id", "type").dtypes)
+    return dealt.groupBy(*key, "i", "j").applyInArrow(compare, f"type {kinds['type']}, a {kinds['id']}, b {kinds['id']}, cosine double")
 
 
 def canonical(pairs: DataFrame) -> DataFrame:

@@ -188,6 +188,19 @@ def test_entities(spark):
     assert sorted((r.memory_id, r.start, r.end) for r in entities.mentions(f, docs).collect()) == [("m1", 3, 8), ("m2", None, None)]
 
 
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_duplicate_pairs(spark, tile):
+    nan, none = float("nan"), [1.0, None]
+    rows = [("a", "P", [1.0, 0.0]), ("b", "P", [2.0, 0.1]), ("c", "P", [0.0, 1.0]), ("d", "Q", [1.0, 0.0]), ("e", None, [1.0, 0.0]), ("f", "P", None), ("g", "P", [0.0, 0.0]), ("h", "P", [nan, 1.0]), ("i", "P", none), ("j", "P", [1.0]), ("k", "P", [3.0, 0.0]), ("l", "P", [-1.0, 0.0]), (None, "P", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, type string, embedding array<double>")
+    got = sorted((r.type, r.a, r.b, r.cosine) for r in entities.duplicate_pairs(df, 0.9, tile).collect())
+    near = round(2 / math.hypot(2, 0.1), 6)
+    assert got == [("P", "a", "b", near), ("P", "a", "k", 1.0), ("P", "b", "k", near)]
+    assert entities.duplicate_pairs(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="above 0"):
+        entities.duplicate_pairs(df, 0.0)
+
+
 def test_ontology(spark):
     ents = spark.createDataFrame([("t", "Task", {"title": "x", "status": "odd"}), ("c", "Credential", {"token": "1"}), ("e", "Event", {"title": "x", "start": "2024-01-02T00:00:00", "end": "2024-01-01T00:00:00"})], "id string, type string, properties map<string,string>")
     rels = spark.createDataFrame([("t1", "Task", "blocks", "t2", "Task"), ("t2", "Task", "blocks", "t1", "Task"), ("t3", "Task", "blocks", "t1", "Task"), ("t1", "Task", "assigned_to", "p", "Goal"), ("t1", "Task", "assigned_to", "q", "Person")], "from_id string, from_type string, rel string, to_id string, to_type string")
