@@ -1,4 +1,4 @@
-"""The facade: store, search, update, delete, list, link, graph and set_project."""
+"""The facade: store, search, update, delete, list, link, extract, graph and set_project."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from . import schemas as S
 from . import upkeep
 from .functions import text as T
 from .functions.embed import LOCAL, Embedder
-from .operators import bm25, fusion, graph, index, knn
+from .operators import bm25, entities, fusion, graph, index, knn
 from .providers import Registry, variants
 from .sources.corpus import Corpus, dedup, has_tags, prepare, touch
 from .sources.scratch import stash
@@ -135,6 +135,50 @@ class Engine:
         nodes, edges = graph.traverse(self.edges(scope), self.spark.createDataFrame([(start,)], "start string"), depth, direction, relation)
         return nodes.join(self.corpora[scope].live().select("id", "title", "tags", "status"), "id").drop("start"), edges.drop("start")
 
+    # entities
+
+    def extract(self, payloads: DataFrame, scope: str = "project", now: float | None = None) -> DataFrame:
+        """Takes (memory_id, entities, relations) of live memories and writes what they name.
+        Returns (memory_id, errors): items that are wrong are left out, and payloads over a cap
+        add nothing. Writing a payload again adds no mention and no relation."""
+        corpus, now = self.corpora[scope], now or time.time()
+        live = corpus.live().select("id", "content")
+        last = corpus.table("entities", S.ENTITY_VERSION).agg(F.max("version")).first()[0]
+        own = payloads.join(live.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        told = own.select("memory_id", entities.payload_errors(F.col("entities"), F.col("relations")).alias("errors"), "entities", "relations")
+        over = (F.size("entities") > S.AGENT_ENTITIES) | (F.size("relations") > S.AGENT_RELATIONS)
+        ents, rels = entities.cleaned(F.col("entities"), F.col("relations"), n_entities=S.AGENT_ENTITIES, n_relations=S.AGENT_RELATIONS)
+        sound = told.where(~F.coalesce(over, F.lit(False))).select("memory_id", ents.alias("entities"), rels.alias("relations"))
+        made, said, related = entities.write_extraction(sound, live, *self.knowledge(corpus))
+        version = max(int(now * 1e6), (last or 0) + 1)
+        corpus.append(said.withColumn("confidence", F.lit(1.0)).select([F.col(f.name).cast(f.dataType) for f in S.MENTION]), "mentions")
+        corpus.append(related.select(*S.RELATION.names), "relations")
+        corpus.append(made.withColumn("version", F.lit(version)).select([F.col(f.name).cast(f.dataType) for f in S.ENTITY_VERSION]), "entities")
+        return told.select("memory_id", "errors")
+
+    def knowledge(self, corpus: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Entities in their latest version, mentions in live memories, and relations."""
+        ents = entities.latest(corpus.table("entities", S.ENTITY_VERSION), ["id"], ["version"]).drop("version")
+        said = corpus.table("mentions", S.MENTION).join(corpus.live().select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        return ents, said.select(*S.MENTION.names), corpus.table("relations", S.RELATION)
+
+    def proximity(self, queries: DataFrame, scope: str = "project", limit: int = 50, depth: int = 2, curve: str = "linear") -> DataFrame | None:
+        """(query_id, corpus, id, rank): memories near the entities that a query names; null if
+        no corpus of the scope has entities."""
+        tokens = queries.select("query_id", F.explode(F.split(T.normalize_name(F.col("query")), " ")).alias("token")).where("token <> ''").distinct()
+        parts = []
+        for corpus in self.scopes(scope):
+            if corpus.table("entities", S.ENTITY_VERSION).isEmpty():
+                continue
+            ents, said, rels = self.knowledge(corpus)
+            names, ends = graph.entity_links(said, ents, rels)
+            asked = graph.seed_entities(tokens, said, ents)
+            seeds = asked.join(names, F.col("canon") == F.col("e")).select("query_id", F.col("memory_id").alias("id")).distinct()
+            direct = self.edges(corpus.name).select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), "relation")
+            near = graph.proximity(seeds, direct, names, ends, corpus.live().where("status = 'active'").select("id"), limit, depth, curve)
+            parts.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), "id", "rank"))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
+
     # search
 
     def fields(self) -> dict[str, Column]:
@@ -203,9 +247,10 @@ class Engine:
     def search(self, queries: DataFrame, scope: str = "project", tags: list[str] | None = None, filter_tags: list[str] | None = None, limit: int = 5, strategy: str = "hybrid", channels: tuple[str, ...] | None = None, now: float | None = None, rerank_scores: DataFrame | None = None, proximity: DataFrame | None = None, expand: bool | None = None, rerank: bool | None = None) -> DataFrame:
         """``queries``: (query_id, query). Returns (query_id, rank, id, title, content, tags,
         score, source, total). Texts are joined at the end, to what is returned alone.
-        ``proximity`` is the graph channel's list (query_id, corpus, id, rank). ``expand`` and
-        ``rerank`` ask for the stages that hooks provide; ``timings`` tells what each took, and
-        ``reason`` why a result is empty."""
+        ``proximity`` can give the graph channel's list (query_id, corpus, id, rank), which is
+        else found from stored entities and edges. ``expand`` and ``rerank`` ask for the stages
+        that hooks provide; ``timings`` tells what each took, and ``reason`` why a result is
+        empty."""
         self.timings, self.reason = {}, "no_channels_selected" if channels is not None and not channels else None
         clock = time.perf_counter()
         chosen = CHANNELS if channels is None else tuple(c for c in channels if c in CHANNELS)
@@ -242,6 +287,8 @@ class Engine:
                     near = knn.knn(held.select(F.concat_ws("\0", "id", "chunk_index").alias("id"), "embedding"), asked, 3 * n)
                     near = knn.best_per_group(near.withColumn("memory", F.substring_index("id", "\0", 1)), "memory", n)
                     lists.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), F.col("memory").alias("id"), "rank", F.lit("chunk_vec").alias("channel")))
+        if "graph" in chosen and proximity is None:
+            proximity = self.proximity(queries, scope)
         if "graph" in chosen and proximity is not None:
             lists.append(proximity.join(live.select("corpus", "id"), ["corpus", "id"], "left_semi").select("query_id", "corpus", "id", "rank", F.lit("graph").alias("channel")))
         if not lists:
@@ -275,7 +322,7 @@ class Engine:
     def call(self, operation: str, /, **args: Any) -> dict[str, Any]:
         """An operation by name; what goes wrong is told in the answer."""
         try:
-            if operation not in ("store", "search", "suggest", "update", "delete", "list", "link", "graph", "set_project"):
+            if operation not in ("store", "search", "suggest", "update", "delete", "list", "link", "extract", "graph", "set_project"):
                 raise ValueError(f"no operation {operation}")
             return {"result": getattr(self, operation)(**args), "project": self.project}
         except Exception as e:

@@ -52,6 +52,7 @@ VERSION = T.StructType([*MEMORY.fields, T.StructField("version", T.LongType()),
 EDGE_EVENT = _schema("source_id string, target_id string, relation string, properties string, ts double, seq bigint, deleted boolean")
 EDGE = _schema("source_id string, target_id string, relation string, properties string, created_at double")
 ENTITY = _schema("id string, name string, name_normalized string, type string, canonical_id string, mention_count bigint")
+ENTITY_VERSION = T.StructType([*ENTITY.fields, T.StructField("version", T.LongType())])
 MENTION = _schema("memory_id string, entity_id string, surface_form string, start bigint, end bigint, confidence double")
 RELATION = _schema("source_entity_id string, target_entity_id string, relation_type string, source_memory_id string, confidence double")
 TASK = _schema("task_id string, memory_id string, task_type string, status string, attempts int, last_error string, ts double")

@@ -255,6 +255,30 @@ def test_engine(spark, tmp_path):
     assert e.call("nothing")["error"] and e.call("set_project", name="p")["project"] == "p"
 
 
+def test_engine_graph_channel(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    raw = [(i, None, f"Notes of the {w} team, number {i}", None) for i, w in (("a", "red"), ("b", "green"), ("c", "blue"), ("d", "grey"))]
+    e.store(spark.createDataFrame(raw, "id string, title string, content string, tags array<string>"), now=1.0)
+    asked = spark.createDataFrame([("q", "Ada"), ("r", "nobody")], "query_id string, query string")
+    assert e.proximity(asked) is None and e.search(asked, channels=("graph",), now=2.0).count() == 0
+    kind = "memory_id string, entities array<struct<name:string,type:string,surface_form:string>>, relations array<struct<from:string,to:string,rel:string>>"
+    ada, engine = ("Ada", "PERSON", None), ("Engine", "TECHNOLOGY", None)
+    rows = [("a", [ada, ("", "PERSON", None)], None), ("b", [engine], [("Engine", "Ada", "nope")]), ("c", [ada, engine], [("Ada", "Engine", "implements")]), ("gone", [ada], None), ("d", [ada] * 51, None)]
+    payloads = spark.createDataFrame(rows, kind)
+    told = {r.memory_id: len(r.errors) for r in e.extract(payloads, now=2.0).collect()}
+    assert told == {"a": 1, "b": 1, "c": 0, "d": 1}
+    for _ in range(2):  # written again, a payload adds nothing
+        ents, said, rels = e.knowledge(e.corpora["project"])
+        assert {(r.memory_id, r.surface_form) for r in said.collect()} == {("a", "Ada"), ("b", "Engine"), ("c", "Ada"), ("c", "Engine")} and said.count() == 4
+        assert [(r.relation_type, r.source_memory_id) for r in rels.collect()] == [("implements", "c")] and ents.count() == 2
+        e.extract(payloads, now=2.0)
+    e.link(spark.createDataFrame([("b", "d", "knows", "{}", False)], "source_id string, target_id string, relation string, properties string, deleted boolean"), now=3.0)
+    near = lambda: [(r.query_id, r.id) for r in e.search(asked, channels=("graph",), now=4.0).orderBy("query_id", "rank").collect()]
+    assert near() == [("q", "a"), ("q", "c"), ("q", "b"), ("q", "d")]
+    e.delete(spark.createDataFrame([("b",)], "id string"), now=5.0)
+    assert near() == [("q", "a"), ("q", "c")]
+
+
 def test_engine_stages(spark, tmp_path):
     seen = []
 
