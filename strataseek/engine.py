@@ -162,19 +162,32 @@ class Engine:
         said = corpus.table("mentions", S.MENTION).join(corpus.live().select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
         return ents, said.select(*S.MENTION.names), corpus.table("relations", S.RELATION)
 
+    def linked(self, corpus: Corpus) -> tuple[DataFrame, ...] | None:
+        """Entities, mentions, and what ``entity_links`` makes of them: made once for a state of
+        the corpus, stored, and read by every search until something is written; null if there
+        are no entities."""
+        last = corpus.table("entities", S.ENTITY_VERSION).agg(F.max("version")).first()[0]
+        if last is None:
+            return None
+        state, what = (self.project, corpus.versions.agg(F.max("version")).first()[0], last), f"entities of {corpus.name}"
+        if self._indexes.get(what, (None,))[0] != state:
+            ents, said, rels = (stash(x, "knowledge") for x in self.knowledge(corpus))
+            self._indexes[what] = (state, (ents, said, *(stash(x, "entity-links") for x in graph.entity_links(said, ents, rels))))
+        return self._indexes[what][1]
+
     def proximity(self, queries: DataFrame, scope: str = "project", limit: int = 50, depth: int = 2, curve: str = "linear") -> DataFrame | None:
         """(query_id, corpus, id, rank): memories near the entities that a query names; null if
         no corpus of the scope has entities."""
         tokens = queries.select("query_id", F.explode(F.split(T.normalize_name(F.col("query")), " ")).alias("token")).where("token <> ''").distinct()
         parts = []
         for corpus in self.scopes(scope):
-            if corpus.table("entities", S.ENTITY_VERSION).isEmpty():
+            held = self.linked(corpus)
+            if held is None:
                 continue
-            ents, said, rels = self.knowledge(corpus)
-            names, ends = graph.entity_links(said, ents, rels)
+            ents, said, names, ends = held
             asked = graph.seed_entities(tokens, said, ents)
-            seeds = asked.join(names, F.col("canon") == F.col("e")).select("query_id", F.col("memory_id").alias("id")).distinct()
-            direct = self.edges(corpus.name).select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), "relation")
+            seeds = stash(asked.join(names, F.col("canon") == F.col("e")).select("query_id", F.col("memory_id").alias("id")).distinct(), "seeds")
+            direct = stash(self.edges(corpus.name).select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), "relation"), "direct")
             near = graph.proximity(seeds, direct, names, ends, corpus.live().where("status = 'active'").select("id"), limit, depth, curve)
             parts.append(near.select("query_id", F.lit(corpus.name).alias("corpus"), "id", "rank"))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
