@@ -184,9 +184,10 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
 
         def flush():
             nonlocal doc_ids, raws, size
-            lengths = np.array([len(x) // 4 for x in raws], np.int64)
-            made = file_bytes(doc_ids, lengths, np.frombuffer(b"".join(raws), "<u4"))
-            doc_ids, raws, size = [], [], 0
+            lengths, ids = np.array([len(x) // 4 for x in raws], np.int64), np.frombuffer(b"".join(raws), "<u4")
+            raws = []  # not held beside their copy
+            made = file_bytes(doc_ids, lengths, ids)
+            doc_ids, size = [], 0
             return pa.record_batch([pa.array([made], pa.binary())], names=["file"])
 
         for whole in batches:

@@ -285,6 +285,22 @@ def test_token_memo(spark, tiny, name):
     assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids_of(texts)] == encode_all(name, texts)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_memo_looks_up_distinct_pieces(name):
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key):
+            self.looked += 1
+            return super().get(key)
+
+    memo = token_memo.TokenMemo(token_memo.read_spec(queries.tokenizer_path(name)))
+    memo.pieces = Counted()
+    texts = ["one two, three words. " * 50 + "end", "", "two words, one", "one  two\tthree ***"] * 20
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids_of(texts)] == encode_all(name, texts)
+    assert memo.pieces.looked < 30 < len(texts)
+
+
 def best_fit(lengths, window):
     room = []
     for n in sorted(lengths, reverse=True):
